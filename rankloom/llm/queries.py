@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_filter
+from . import fingerprints, licenses, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": url_filter.query}
+    return {
+        "op1_url_filter": url_filter.query,
+        "op3_license_scan": licenses.query,
+        "op6_fingerprints": fingerprints.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.ORACLE}
+    return {
+        "op1_url_filter": url_filter.ORACLE,
+        "op6_fingerprints": fingerprints.ORACLE,
+    }
