@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, licenses, mixing, packing, quality, url_filter
+from . import fingerprints, licenses, media, mixing, packing, quality, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": url_filter.query,
+        "op2_media": media.query,
         "op3_license_scan": licenses.query,
         "op5_packing": packing.query,
         "op6_fingerprints": fingerprints.query,
