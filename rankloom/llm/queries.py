@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, licenses, media, mixing, packing, quality, url_filter
+from . import fingerprints, licenses, media, mixing, packing, pii, quality, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_license_scan": licenses.query,
         "op5_packing": packing.query,
         "op6_fingerprints": fingerprints.query,
+        "op7_pii": pii.query,
         "op8_mixing": mixing.query,
         "op10_quality": quality.query,
     }
