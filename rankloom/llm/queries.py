@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, licenses, media, mixing, packing, pii, quality, url_filter
+from . import fingerprints, jaccard, licenses, media, mixing, packing, pii, quality, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filter": url_filter.query,
         "op2_media": media.query,
         "op3_license_scan": licenses.query,
+        "op4_jaccard_join": jaccard.query,
         "op5_packing": packing.query,
         "op6_fingerprints": fingerprints.query,
         "op7_pii": pii.query,
