@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard, licenses, media, mixing, packing, pii, quality, url_filter
+from . import fingerprints, jaccard, licenses, lm, media, mixing, packing, pii, quality, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_fingerprints": fingerprints.query,
         "op7_pii": pii.query,
         "op8_mixing": mixing.query,
+        "op9_language_model": lm.query,
         "op10_quality": quality.query,
     }
 
