@@ -240,7 +240,7 @@ def keep_one(docs: DataFrame, **options: float) -> DataFrame:
         cascade = build_cascade(gone, judged.where("doc_id is not null").select(F.col("doc_id").cast("string").alias("key")), n, total)
         stay = docs.where(F.col("doc_id").isNull() | ~cascade.contains(F.col("doc_id").cast("long").cast("string")))
     elif n:
-        stay = docs.join(gone, F.col("doc_id").cast("long").cast("string") == F.col("key"), "left_anti")
+        stay = docs.join(gone.withColumnRenamed("key", "_gone"), F.col("doc_id").cast("long").cast("string") == F.col("_gone"), "left_anti")
     again = judged.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
     if again.isEmpty():
         return stay

@@ -38,7 +38,6 @@ from .common import mix, shared_dir, text_chunks, word_hashes
 from .media import file_system
 
 END = np.uint64(0x8F14E45FCEEA167A)
-START = np.uint64(0x1B2A3C4D5E6F7081)
 FLUSH = 2_000_000  # pairs that a counting task holds before it combines and sends them
 HOT = 0.25  # of a shard's mean of tokens
 _LOW = np.uint64(0xFFFFFFFF)
@@ -195,6 +194,8 @@ def count_words(texts: DataFrame, folder: str, shards: int) -> tuple[Words, int,
         write_arrays(folder, f"uni-{s}", hashes=np.zeros(0, "<u8"), counts=np.zeros(0, "<i8"))
     sizes = [found[s].n if s in found else 0 for s in range(shards)]
     words = Words(folder, np.cumsum(sizes).tolist())
+    if words.size >= 1 << 32:
+        raise ValueError("a pair's key has 32 bits for each word's number")
     total = sum(r.total for r in found.values())
     hot = [words.size] + [int(t) + (int(words.ends[s - 1]) if s else 0) for s, r in found.items() for t, c in zip(r.top, r.most, strict=True) if c > HOT * total / shards]
     return words, total, np.array(sorted(hot), dtype=np.int64)

@@ -111,6 +111,30 @@ def mix(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, m
     return laid.select(*docs.columns, "source_size", "target", start.cast("long").alias("start"), taken.cast("long").alias("taken"))
 
 
+def take(docs: DataFrame, **options: float) -> DataFrame:
+    """The rows of docs as the mix takes them: whole ones as often as they are taken, and parts by words.
+
+    n_chars, where there is one, is made to fit the part. The rows travel once, with the window that lays
+    them out.
+    """
+    rows = docs.select("doc_id", "source", sizes(docs).alias("size"), F.struct("*").alias("_row"))
+    mixed = mix(rows, **options)
+    piece = lambda begin, n: F.struct(begin.cast("long").alias("at"), n.cast("long").alias("n"))
+    head = F.when(F.col("start") > 0, F.least(F.col("size") - F.col("start"), F.col("taken"))).otherwise(F.lit(0))
+    left = F.col("taken") - head
+    whole, rest = F.try_divide(left - F.col("left_over"), F.col("size")), F.col("left_over")
+    mixed = mixed.withColumn("left_over", F.coalesce(F.try_mod(left, F.col("size")), F.lit(0)))
+    pieces = F.concat(F.array(piece(F.col("start"), head)), F.array_repeat(piece(F.lit(0), F.col("size")), F.coalesce(whole, F.lit(0)).cast("int")), F.array(piece(F.lit(0), rest)))
+    parts = mixed.where("taken > 0").select("_row", "size", F.explode(F.filter(pieces, lambda p: p["n"] > 0)).alias("p"))
+    words = F.regexp_extract_all(F.col("_row.text"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    cut = F.regexp_replace(F.array_join(F.slice(words, F.col("p.at").cast("int") + 1, F.col("p.n").cast("int")), ""), r"^[\x20\x09-\x0D]+", "")
+    parts = parts.withColumn("_text", F.when(F.col("p.n") == F.col("size"), F.col("_row.text")).otherwise(cut))
+    row = F.col("_row").withField("text", F.col("_text"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.char_length("_text").cast(docs.schema["n_chars"].dataType))
+    return parts.select(row.alias("_row")).select("_row.*")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size) of documents, written once: the texts are read a single time."""
     return keep(docs.select("doc_id", "source", sizes(docs).alias("size")))

@@ -215,6 +215,15 @@ def _rewrite_by_join(found: DataFrame, odd: DataFrame, key: str) -> DataFrame:
     return joined.withColumn("text", _spliced(F.col("_new.s"))).drop("_list", "_new")
 
 
+def rewrite(docs: DataFrame, key: str) -> DataFrame:
+    """docs with the text rewritten in place, and n_chars, where there is one, made to fit it."""
+    done = replace(docs.select("text", F.struct("*").alias("_row")), key)
+    row = F.col("_row").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(row.alias("_row")).select("_row.*")
+
+
 def _spliced(surrogates: Column) -> Column:
     gaps = F.split(F.col("text"), ANY, -1)
     whole = F.concat(F.element_at(gaps, 1), F.array_join(F.zip_with(surrogates, F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0))), lambda a, b: F.concat(a, b)), ""))

@@ -101,11 +101,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: i
     return np.frombuffer(bytes(made[0].w), dtype=np.float32) if made else np.zeros((1 << BITS) + 1, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, drop: tuple[str, ...] = ()) -> DataFrame:
-    """Adds `score` to docs(text, ...); the columns in `drop` don't come back."""
+def score(docs: DataFrame, weights: np.ndarray, drop: tuple[str, ...] = (), name: str = "score") -> DataFrame:
+    """Adds the score to docs(text, ...) under the name; the columns in `drop`, or of that name, don't come back."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
-    names = [c for c in docs.columns if c not in drop and c != "score"]
-    schema = docs.select(*names).schema.add("score", "double")
+    names = [c for c in docs.columns if c not in drop and c != name]
+    schema = docs.select(*names).schema.add(name, "double")
     at = docs.columns.index("text")
     places = [docs.columns.index(c) for c in names]
 
@@ -119,14 +119,15 @@ def score(docs: DataFrame, weights: np.ndarray, drop: tuple[str, ...] = ()) -> D
                 count = np.bincount(doc, minlength=j - i)
                 out[i:j] = w[-1] + SCALE * total / np.maximum(count, 1)
             out = 1 / (1 + np.exp(-np.clip(out, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(p) for p in places], pa.array(out)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(p) for p in places], pa.array(out)], names=[*names, name])
 
     return docs.mapInArrow(scored, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs whose score is `least` at least, with the columns they had."""
-    return score(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, fit(docs, labels)).where(F.col("score") >= least).drop("score").toDF(*docs.columns)
+    name = next(x for x in (f"_quality{i}" for i in range(len(docs.columns) + 1)) if x not in docs.columns)
+    return score(docs, fit(docs, labels), name=name).where(F.col(name) >= least).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
