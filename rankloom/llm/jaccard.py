@@ -13,7 +13,7 @@ are laid out once, and one pass for each document counts what it shares with all
 also found that no tree showed. Large clusters are verified by pairs of blocks, each block bounded in
 documents and shingles; a task's output is a row for each document (its links, and one to which it is
 joined), never its pairs. Classes are the connected components of the links, found by rounds of minima
-over shuffled tables, with each round written to the shared folder.
+over shuffled tables that shrink, with each round written to the shared folder.
 
 At scale: the texts are read in place to make the sketches (some 200 bytes a document). Only those of
 clustered documents are shuffled, once a block pair; the others are kept back by a Bloom filter of the
@@ -113,19 +113,25 @@ def sketches(docs: DataFrame, words: int, trees: int, depth: int, seed: int) ->
 def connected(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> (v, component) of all vertices in them; a component is named by its least vertex.
 
-    Each round takes the least name among a vertex and its neighbours, and then the name of that name.
+    In each round a vertex goes to the least of itself and its neighbours, and on to where that one goes;
+    the edges are then drawn between those, and the ones within are gone. So the edges shrink with every
+    round, and a star is done after the first.
     """
-    both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    state = keep(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("least")).select("v", F.least("v", "least").alias("component")))
+    left = keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct())
+    roots = None
     while True:
-        seen = both.join(state.select(F.col("v").alias("b"), "component"), "b").groupBy(F.col("a").alias("v")).agg(F.min("component").alias("near"))
-        nearer = state.join(seen, "v").select("v", F.col("component").alias("was"), F.least("component", "near").alias("near"))
-        jump = state.select(F.col("v").alias("near"), F.col("component").alias("far"))
-        after = keep(nearer.join(jump, "near").select("v", "was", F.least("near", "far").alias("component")))
-        done = after.where("was != component").isEmpty()
-        state = after.select("v", "component")
-        if done:
-            return state
+        ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e"))
+        near = keep(ends.groupBy("e.v").agg(F.min("e.w").alias("w")).select("v", F.least("v", "w").alias("p")))
+        far = near.select(F.col("v").alias("p"), F.col("p").alias("q"))
+        up = keep(near.join(far, "p").select("v", F.col("q").alias("p")))
+        if roots is None:
+            roots = up.select("v", F.col("p").alias("component"))
+        else:
+            roots = keep(roots.join(up.select(F.col("v").alias("component"), "p"), "component", "left").select("v", F.coalesce("p", "component").alias("component")))
+        left = left.join(up.select(F.col("v").alias("a"), F.col("p").alias("c")), "a").join(up.select(F.col("v").alias("b"), F.col("p").alias("d")), "b")
+        left = keep(left.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).where("a != b").distinct())
+        if left.isEmpty():
+            return roots
 
 
 class _Union:
@@ -198,7 +204,9 @@ def join_similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, trees:
     distinct = keep(sketched.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("nodes").alias("nodes")))
     members = distinct.where("n > 0").select("key", F.explode("nodes").alias("node"))
     pivots = members.groupBy("node").agg(F.min("key").alias("pivot"), F.count("*").alias("m")).where("m > 1").select("node", "pivot")
-    ties = keep(members.join(pivots, "node").where("key != pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct())
+    # a document's pivots, one a tree at most, are tied to their least one, and the document to that alone
+    tied = members.join(pivots, "node").where("key != pivot").groupBy("key").agg(F.collect_set("pivot").alias("p"))
+    ties = tied.select(F.explode(F.transform(F.concat(F.array("key"), "p"), lambda x: F.struct(x.alias("a"), F.array_min("p").alias("b")))).alias("e")).select("e.*")
     clusters = connected(ties).select(F.col("v").alias("key"), F.col("component").alias("cluster"))
 
     known = keep(clusters.join(distinct.select("key", "first", "copies", "n"), "key"))
