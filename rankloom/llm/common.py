@@ -1,53 +1,25 @@
-"""Helpers shared by the operators: the shared folder, and vectorised word hashing."""
+"""Helpers shared by the operators: the library's storage, and vectorised word hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..storage import delete, keep, shared_dir
+
+__all__ = ["SPACES", "WORD", "ascii_lower", "delete", "keep", "mix", "run_hashes", "shared_dir", "text_chunks", "word_hashes"]
+
 #: The ASCII white space of the word pattern [^\x20\x09-\x0D]+.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name under spark.checkpoint.dir, which the driver and all executors share.
-
-    Where the session has no such setting (tests on one machine), a temporary folder is set once.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rankloom-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder and cut from their lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Removes a folder of the shared store through Hadoop's file system."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 # ---- vectorised words -------------------------------------------------------------------
 
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -113,17 +113,22 @@ def sketches(docs: DataFrame, words: int, trees: int, depth: int, seed: int) ->
 def connected(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> (v, component) of all vertices in them; a component is named by its least vertex.
 
-    In each round a vertex goes to the least of itself and its neighbours, and on to where that one goes;
-    the edges are then drawn between those, and the ones within are gone. So the edges shrink with every
-    round, and a star is done after the first.
+    In each round a vertex points to the least of itself and its neighbours, and the pointers are doubled
+    until each ends at a vertex that points to itself; at least half the vertices don't. Edges are then
+    drawn between those ends, and the ones within are gone. So rounds and doublings are both logarithmic,
+    on a long chain too, and a star is done after the first.
     """
     left = keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct())
     roots = None
     while True:
         ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e"))
         near = keep(ends.groupBy("e.v").agg(F.min("e.w").alias("w")).select("v", F.least("v", "w").alias("p")))
-        far = near.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        up = keep(near.join(far, "p").select("v", F.col("q").alias("p")))
+        while True:
+            far = near.select(F.col("v").alias("p"), F.col("p").alias("q"))
+            up = keep(near.join(far, "p").select("v", F.col("p").alias("was"), F.col("q").alias("p")))
+            near = up.select("v", "p")
+            if up.where("p != was").isEmpty():
+                break
         if roots is None:
             roots = up.select("v", F.col("p").alias("component"))
         else:
@@ -211,7 +216,9 @@ def join_similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, trees:
 
     known = keep(clusters.join(distinct.select("key", "first", "copies", "n"), "key"))
     sizes = known.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    # written, so that the join below is of two plain exchanges, which can be split where a cluster is large
     sizes = sizes.select("cluster", F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sizes = keep(sizes)
     tasks = max(1, math.ceil((known.agg(F.sum("n").alias("n")).first().n or 0) / BLOCK_SHINGLES * 4))
     placed = known.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     units = placed.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "x")).withColumn("j", F.greatest("block", "x"))

@@ -50,8 +50,19 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return places.astype(np.int64), np.concatenate([doc, doc[:-1][same], doc[again]])
 
 
-def train(texts: pa.Array, labels: np.ndarray, epochs: int = 2, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3) -> np.ndarray:
-    """Weights, the bias last, by per-coordinate FTRL-proximal updates over the rows in their order."""
+def vectors(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places and values of each text's features, with the bias last."""
+    for i, j, data, offsets in text_chunks(texts, 1 << 20):
+        place, doc = features(data, offsets)
+        order = np.argsort(doc, kind="stable")
+        bounds = np.searchsorted(doc[order], np.arange(j - i + 1))
+        for k in range(j - i):
+            at, count = np.unique(place[order[bounds[k] : bounds[k + 1]]], return_counts=True)
+            yield np.append(at, 1 << BITS).astype(np.int32), np.append(count * (SCALE / max(count.sum(), 1)), 1.0).astype(np.float32)
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = 2, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3) -> np.ndarray:
+    """Weights, the bias last, by per-coordinate FTRL-proximal updates over (places, values, label) in their order."""
     size = 1 << BITS
     z, n = np.zeros(size + 1), np.zeros(size + 1)
 
@@ -59,14 +70,6 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = 2, alpha: float = 0
         zi = z[i]
         return np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(n[i])) / alpha + l2))
 
-    rows = []
-    for i, j, data, offsets in text_chunks(texts, 1 << 20):
-        place, doc = features(data, offsets)
-        order = np.argsort(doc, kind="stable")
-        bounds = np.searchsorted(doc[order], np.arange(j - i + 1))
-        for k in range(j - i):
-            at, count = np.unique(place[order[bounds[k] : bounds[k + 1]]], return_counts=True)
-            rows.append((np.append(at, size).astype(np.int32), np.append(count * (SCALE / max(count.sum(), 1)), 1.0).astype(np.float32), labels[i + k]))
     for _ in range(epochs):
         for at, x, y in rows:
             w = weight(at)
@@ -89,12 +92,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: i
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "_y", "_at", "doc_id")  # `most_rows` rows of three numbers
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
+        rows = []  # features only: the texts go with their batch
+        for batch in batches:
+            keys = [batch.column(i).to_pylist() for i in (2, 3, 1)]
+            rows += [(key, *v) for key, v in zip(zip(*keys, strict=True), vectors(batch.column(0)), strict=True)]
+        if not rows:
             return
-        table = pa.Table.from_batches(batches)
-        table = table.sort_by([("_at", "ascending"), ("doc_id", "ascending"), ("_y", "ascending")])
-        w = train(table.column("text").combine_chunks(), table.column("_y").to_numpy())
+        rows.sort(key=lambda r: r[0])
+        w = train([(at, x, key[2]) for key, at, x in rows])
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["w"])
 
     made = rows.repartition(1).mapInArrow(learn, "w binary").collect()  # one row of 4 MB
