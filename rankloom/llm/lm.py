@@ -262,10 +262,13 @@ def count_pairs(texts: DataFrame, folder: str, words: Words, hot: np.ndarray) ->
 
 
 def discounts(n: list[int]) -> np.ndarray:
-    """D of counts 0, 1, 2 and 3 or more, from the counts of counts 1 to 4; each between 0 and its count."""
+    """D of counts 0, 1, 2 and 3 or more, from the counts of counts 1 to 4.
+
+    Each is at least 0.1, so that something is left for what wasn't seen, and at most its count.
+    """
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
     d = [i + 1 - (i + 2) * y * n[i + 1] / n[i] if n[i] else (i + 1) * 0.5 for i in range(3)]
-    return np.array([0.0] + [min(max(x, 0.0), i + 1.0) for i, x in enumerate(d)])
+    return np.array([0.0] + [min(max(x, 0.1), i + 1.0) for i, x in enumerate(d)])
 
 
 # ---- scoring ----------------------------------------------------------------------------
