@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, mix, text_chunks, word_hashes
+from .common import WORD, keep, mix, text_chunks, word_hashes
 from .url_filter import Cascade, build_cascade
 
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 2_000_000
@@ -265,3 +265,20 @@ def keep_one(docs: DataFrame, **options: float) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_similar(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same by brute force: all pairs of different sets that share a shingle, and their closure.
+ORACLE = rf"""
+with recursive w as (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') ws from documents),
+d as (select rid, doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+      else list_sort(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')))) end sh from w),
+k as (select rid, doc_id, md5(array_to_string(sh, chr(10))) k, sh from d),
+c as (select k, count(*) copies, min(doc_id) first, any_value(sh) sh, len(any_value(sh)) n from k group by k),
+x as (select k, n, unnest(sh) s from c),
+e as (select a.k a, b.k b from x a join x b on a.s = b.s and a.k <> b.k and a.n >= 0.8 * b.n and b.n >= 0.8 * a.n group by a.k, b.k, a.n, b.n
+      having count(*) * 10 >= 8 * (a.n + b.n - count(*))),
+r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
+m as (select c.k, least(c.first, min(o.first)) class_id from c left join r on r.a = c.k left join c o on o.k = r.b group by c.k, c.first),
+l as (select e.a k, sum(o.copies) links from e join c o on o.k = e.b group by e.a)
+select doc_id, class_id, copies n_copies, (copies - 1 + coalesce(links, 0))::bigint n_links from k join c using (k) join m using (k) left join l using (k)
+"""

@@ -138,3 +138,30 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(F.col("base.label"))), ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
     )
+
+
+def _oracle(phrases: list[tuple[str, str]]) -> str:
+    """The query by brute force: each template is tried wherever one of its words stands."""
+    listed = ", ".join(f"({i}, '{label}', {p}, '{w}', {len(t.split())})" for i, (t, label) in enumerate(phrases) for p, w in enumerate(t.split()) if w != "*")
+    return rf"""
+with listed(template, label, pos, word, len) as (values {listed}),
+t as (select *, count(*) over (partition by template) own from listed),
+d as (select row_number() over () rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TOKEN}') ws from documents),
+h as (select * from (select rid, unnest(ws) word, unnest(range(len(ws))) place from d) where word in (select word from t)),
+c as (select word, count(distinct rid) n from h group by word),
+idf as (select word, ln(((select count(*) from d) + 1.0::double) / (coalesce(n, 0) + 1)) + 1 weight from (select distinct word from t) left join c using (word)),
+p as (select rid, template, any_value(label) label, place - pos start from h join t using (word) join d using (rid)
+      group by rid, template, place - pos having count(*) = any_value(own) and place - pos >= 0 and place - pos + any_value(len) <= any_value(len(ws))),
+f as (select rid, count_if(template < {BASE}) n_base, min(start) filter (template < {BASE}) first_word, max(start) filter (template < {BASE}) last_word,
+             list_sort(list(distinct label) filter (template < {BASE})) base_labels, list_sort(list(distinct label)) labels from p group by rid),
+m as (select template, fsum(weight order by word) mass from (select distinct template, word from t) join idf using (word) group by template),
+s as (select rid, template, list_reduce(list(weight order by word), lambda a, b: a + b) part
+      from (select distinct rid, template, word from h join t using (word)) join idf using (word) group by rid, template),
+b as (select rid, max(part / mass) score from s join m using (template) group by rid)
+select doc_id, len(ws)::bigint n_words, coalesce(n_base, 0)::bigint n_base, first_word, last_word, coalesce(array_to_string(base_labels, ','), '') base_labels,
+       coalesce(array_to_string(labels, ','), '') labels, case when f.rid is not null then 1.0::double else coalesce(score, 0) end score
+from d left join f using (rid) left join b using (rid)
+"""
+
+
+ORACLE = _oracle(PHRASES)

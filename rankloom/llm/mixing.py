@@ -143,3 +143,32 @@ def sized(docs: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(sized(docs)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The same with all quotients of all seats ranked.
+ORACLE = rf"""
+with d as (select row_number() over () rid, doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint size from documents),
+s as (select source, sum(size)::bigint source_size, row_number() over (order by source nulls last) rnk from d group by source),
+w as (select *, [3.0::double, 1, 2][(rnk - 1) % 3 + 1] weight, 2.0::double * source_size cap from s),
+l as (select *, (1.5::double * sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, rnk rows between unbounded preceding and 1 preceding), 0))
+                / sum(weight) over (order by cap / weight, rnk rows between current row and unbounded following) level from w),
+e as (select arg_min(level, (cap / weight, rnk)) level from l where level * weight <= cap),
+t as (select source, source_size, rnk, least(cap, coalesce(e.level * weight, cap)) target, greatest(ceil(source_size / 1048576), 1)::bigint shards from l left join e on true),
+n as (select round(sum(target) / 16)::bigint seats from t),
+q as (select rnk, row_number() over (order by target / (2 * k + 1) desc, rnk) i from (select rnk, target, unnest(range((select seats from n))) k from t)),
+g as (select rnk, least(count(*), max(ceil(source_size * 2 / 16)))::bigint seats from q join t using (rnk) where i <= (select seats from n) group by rnk),
+p as (select d.*, source_size, target, rnk, coalesce(seats, 0) seats, md5('7:' || coalesce(doc_id::varchar, '')) mark, ('0x' || substr(md5('7:' || coalesce(doc_id::varchar, '')), 1, 15))::bigint % shards shard
+      from d join t on d.source is not distinct from t.source left join g using (rnk)),
+h as (select rnk, shard, sum(size)::bigint full_size, any_value(seats) seats from p group by rnk, shard),
+hq as (select rnk, shard, seats, row_number() over (partition by rnk order by full_size / (2 * k + 1) desc, shard) i from (select *, unnest(range(seats)) k from h)),
+hn as (select rnk, shard, count(*) quota from hq where i <= seats group by rnk, shard),
+r as (select rnk, shard, 2 * full_size ring, least(least(coalesce(quota, 0), ceil(full_size * 2 / 16)::bigint) * 16, 2 * full_size) long,
+             case when full_size > 0 then ('0x' || substr(md5('run 7:' || rnk || ':' || shard), 1, 15))::bigint % (2 * full_size) // 16 * 16 else 0 end first, full_size
+      from h left join hn using (rnk, shard)),
+b as (select *, coalesce(sum(size) over (partition by rnk, shard order by mark, doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0)::bigint place from p),
+o as (select rid, doc_id, size, source_size, target, place + copy.c * full_size place, first - lap.c * ring start, long
+      from b join r using (rnk, shard), (values (0), (1)) copy(c), (values (0), (1)) lap(c))
+select any_value(doc_id) doc_id, any_value(size) size, any_value(source_size) source_size, any_value(target) target,
+       sum(greatest(least(place + size, start + long) - greatest(place, start), 0))::bigint taken
+from o group by rid
+"""

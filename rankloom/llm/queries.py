@@ -27,5 +27,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filter": url_filter.ORACLE,
+        "op3_license_scan": licenses.ORACLE,
+        "op4_jaccard_join": jaccard.ORACLE,
         "op6_fingerprints": fingerprints.ORACLE,
+        "op8_mixing": mixing.ORACLE,
     }

@@ -243,7 +243,7 @@ def test_take_writes_out_what_the_mix_takes(spark):
         assert max(w.count(x) for x in set(w)) <= 2
 
 
-@pytest.mark.parametrize("name", ["op1_url_filter", "op6_fingerprints"])
+@pytest.mark.parametrize("name", ["op1_url_filter", "op3_license_scan", "op4_jaccard_join", "op6_fingerprints", "op8_mixing"])
 def test_queries_give_what_their_sql_gives(spark, sf, duck, name):
     from rankloom.llm import queries
 
