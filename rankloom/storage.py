@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset (tests on one machine), a temporary folder is set once."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if found.isEmpty():  # a setting made after the context began isn't in force yet
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="rankloom-"))
     if named:
         return named
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rankloom-"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
     return found.get()
 
