@@ -81,7 +81,7 @@ def map_array(folder: str, name: str, dtype: str) -> np.ndarray:
     fs, root = file_system(folder)
     path = f"{root}/{name}"
     if not isinstance(fs, pafs.LocalFileSystem):
-        handle, local = tempfile.mkstemp()
+        handle, local = tempfile.mkstemp(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)  # the executor's scratch space
         os.close(handle)
         pafs.copy_files(path, local, source_filesystem=fs, destination_filesystem=pafs.LocalFileSystem())
         out = np.memmap(local, dtype, "r") if os.path.getsize(local) else np.zeros(0, dtype)
