@@ -23,7 +23,8 @@ over tasks: counting every link of a group needs it.
 Defined results: a null text is empty; texts without words are copies of each other; equal rows are
 copies; a class's id is its smallest doc_id (null only if all its ids are); an empty table gives an
 empty result. doc_ids are taken to name documents: of rows with one doc_id in one class `keep_one` keeps
-those of equal text once.
+those of equal text once. Rows without a doc_id count by their class too: `keep_one` drops them where a row
+of the class has an id, and else keeps one, a row of the set by which the class is named, the first by text.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import WORD, keep, mix, text_chunks, word_hashes
 from .url_filter import Cascade, build_cascade
@@ -110,6 +112,19 @@ def sketches(docs: DataFrame, words: int, trees: int, depth: int, seed: int) ->
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, key binary, n long, nodes array<long>")
 
 
+def with_set_key(docs: DataFrame, words: int) -> DataFrame:
+    """Adds `key`, the key of the text's set, to docs(text, ...)."""
+    schema = StructType([*docs.schema, StructField("key", BinaryType())])
+    at, names = docs.columns.index("text"), schema.names
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [set_key(s) for _, _, data, offsets in text_chunks(batch.column(at)) for s in shingle_sets(data, offsets, words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=names)
+
+    return docs.mapInArrow(keyed, schema)
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> (v, component) of all vertices in them; a component is named by its least vertex.
 
@@ -202,8 +217,11 @@ def _verify(table: pa.Table, words: int, threshold: float) -> pa.Table:
     return pa.table({"key": pa.array(keys, pa.binary()), "joined": pa.array(joined, pa.binary()), "links": pa.array(links, pa.int64())})
 
 
-def join_similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, trees: int = 16, most_depth: int = 8, recall: float = 0.999, seed: int = 7) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, class_id, n_copies (equal sets, itself too), n_links (other rows that are similar)."""
+def join_similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, trees: int = 16, most_depth: int = 8, recall: float = 0.999, seed: int = 7, heads: bool = False) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, class_id, n_copies (equal sets, itself too), n_links (other rows that are similar).
+
+    `heads` adds `head`: in a class without any id the key of the set that names the class, for rows of that set.
+    """
     depth = forest_depth(threshold, trees, most_depth, recall)
     sketched = keep(sketches(docs, words, trees, depth, seed))
     distinct = keep(sketched.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("nodes").alias("nodes")))
@@ -241,13 +259,29 @@ def join_similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, trees:
     named = distinct.select("key", "first", "copies").join(components.withColumnRenamed("v", "key"), "key", "left").join(links, "key", "left")
     named = named.select("key", "first", "copies", F.coalesce("component", "key").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     classes = named.groupBy("component").agg(F.min("first").alias("class_id"))
-    named = keep(named.join(classes, "component").select("key", "class_id", "copies", (F.col("copies") - 1 + F.col("links")).alias("n_links")))
-    return sketched.select("doc_id", "key").join(named, "key").select("doc_id", "class_id", F.col("copies").alias("n_copies"), "n_links")
+    head = [F.when(F.col("class_id").isNull() & (F.col("key") == F.col("component")), F.col("key")).alias("head")] if heads else []
+    named = keep(named.join(classes, "component").select("key", "class_id", "copies", (F.col("copies") - 1 + F.col("links")).alias("n_links"), *head))
+    return sketched.select("doc_id", "key").join(named, "key").select("doc_id", "class_id", F.col("copies").alias("n_copies"), "n_links", *["head"] * heads)
+
+
+def keep_one(docs: DataFrame, words: int = 5, **options: float) -> DataFrame:
+    """The rows of docs less those that aren't the first of their class; texts move only if the dropped ids are too many.
+
+    Of rows without a doc_id one stays of each class that has no id at all.
+    """
+    judged = keep(join_similar(docs, words, heads=True, **options))
+    stay = _first_ids(docs, judged)
+    if judged.where("doc_id is null").isEmpty():
+        return stay
+    # one row a set in each task before anything is shuffled, however many copies there are
+    nameless = with_set_key(docs.where(F.col("doc_id").isNull()).select("text", F.struct("*").alias("_row")), words)
+    nameless = nameless.groupBy("key").agg(F.min_by("_row", F.coalesce("text", F.lit(""))).alias("_row"))
+    heads = judged.where("head is not null").select(F.col("head").alias("key")).distinct()
+    return stay.where(F.col("doc_id").isNotNull()).unionByName(nameless.join(heads, "key", "left_semi").select("_row.*"))
 
 
-def keep_one(docs: DataFrame, **options: float) -> DataFrame:
-    """The rows of docs less those that aren't the first of their class; texts move only if the dropped ids are too many."""
-    judged = keep(join_similar(docs, **options))
+def _first_ids(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of docs that have the first id of their class, and all those without an id."""
     gone = keep(judged.where("doc_id != class_id").select(F.col("doc_id").cast("string").alias("key")).distinct())
     stay = docs
     n, total = gone.count(), judged.count()

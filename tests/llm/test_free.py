@@ -154,6 +154,30 @@ def test_one_of_each_class_stays(spark):
     assert jaccard.keep_one(df.where("false")).count() == 0
 
 
+def test_rows_without_an_id_count_by_class(spark):
+    base = [[f"{c}{i}" for i in range(60)] for c in "abcde"]
+    near = lambda c: " ".join([*base[c][:-1], "other"])
+    text = [" ".join(b) for b in base]
+    docs = [(1, text[0]), (2, near(0)), (None, text[0]), (None, near(0))]  # beside ids
+    docs += [(None, text[1])] * 3  # exact copies, no id
+    docs += [(None, text[2]), (None, near(2)), (None, "  " + text[2])]  # near ones, no id
+    docs += [(3, text[3]), (None, text[4]), (None, None), (None, "")]
+    df = spark.createDataFrame(docs, DOCS).withColumn("key", F.lit("k")).withColumn("_row", F.lit("r")).repartition(3)
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    got = [(r.doc_id, (r.text or "").strip()) for r in kept.collect()]
+    assert {(r.key, r._row) for r in kept.collect()} == {("k", "r")}
+    with_id = {(1, text[0]), (3, text[3])}
+    assert {x for x in got if x[0] is not None} == with_id
+    without = sorted(t for i, t in got if i is None)
+    assert len(without) == 4
+    assert {"", text[1], text[4]} < set(without)
+    assert {text[2], near(2)} & set(without)
+    assert len(got) == 6
+    alone = spark.createDataFrame([(None, text[1]), (None, text[1])], DOCS)
+    assert jaccard.keep_one(alone).count() == 1
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(40)]
     star = [("s", f"s{i}") for i in range(30)]
