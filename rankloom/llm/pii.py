@@ -40,6 +40,8 @@ PATTERNS = {
     "name": r"\b(?:Mrs?|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?)\b\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What each of the patterns needs somewhere in its match: a text without it has no entities.
+HINT = r"[0-9@=:]|AKIA|ASIA|\b(?:Mrs?|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?)\b"
 #: Surrogate names by gender; surnames serve both.
 NAMES = {
     "f": ["Alma", "Berta", "Clara", "Dora", "Elena", "Flora", "Greta", "Hanna", "Irene", "Julia", "Karla", "Laura", "Marta", "Nora", "Olga", "Paula"],
@@ -172,8 +174,8 @@ def surrogate(entity: Column, key: str, attempt: Column) -> Column:
 
 
 def entities(text: Column) -> Column:
-    """All entities of a text in their order; texts without a digit, "@", "=", ":" or a title are told at once."""
-    return F.when(text.rlike(r"[0-9@=:]|\b(?:Mrs?|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?)\b"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    """All entities of a text in their order; texts without a digit, "@", "=", ":", a key's head or a title are told at once."""
+    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def exceptions(docs: DataFrame, key: str, most_attempts: int = 50) -> DataFrame:
