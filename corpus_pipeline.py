@@ -35,7 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Sequences with their token ids: what the mix cut or repeated can't be told from the documents again."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True)
 
 
 STAGES = [("quality", keep_good), ("near_duplicates", keep_one), ("private_data", replace_private), ("mixing", mix_sources), ("packing", pack)]

@@ -331,6 +331,19 @@ def test_classifier_without_labels_or_rows(spark):
 # ---- pipeline ----
 
 
+def test_pipeline_keeps_the_tokens(spark):
+    import corpus_pipeline
+
+    got = corpus_pipeline.pack(spark, spark.createDataFrame(TEXTS, DOCS), "").collect()
+    t = packing.tokenizer(vocabulary()).whole
+    assert {zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in got} == {True}
+    want = collections.Counter()
+    for d, x in TEXTS:
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 2]
+        want.update((d, i, tuple(ids[i : i + 4096])) for i in range(0, len(ids), 4096))
+    assert collections.Counter((r.doc_id, r.start, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in got) == want
+
+
 def test_pipeline_stages_in_turn(spark):
     import corpus_pipeline
 
