@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: a MinHash LSH forest finds candidates, exact similarities decide.
+"""N-gram Jaccard join: a MinHash LSH forest, at one fixed depth (banding), finds candidates, exact similarities decide.
 
 A document is its set of shingles of `words` words (all its words are one shingle where it has fewer).
 Documents of equal sets are copies: one of them stands for all. Each tree of the forest keys them by a
