@@ -1,9 +1,8 @@
-"""License scan: a positional rare-token index over license templates.
+"""License scan: the positions of license words in files, against each of the license templates.
 
-Each template is a row of words; "*" stands for any one word. The index has, for each license word, the
-templates and positions where it stands. Of a file only its license words matter: their positions are
-kept, a few numbers a file. Words are weighed by idf over all files. In each template a file's
-highest-idf words that the template has are looked up (`rare` of them), the file's positions less the
+Each template is a row of words; "*" stands for any one word. Of a file only its license words matter:
+their positions are kept, a few numbers a file. Words are weighed by idf over all files. Of each template
+the highest-idf words are looked up (`rare` of them, the same for all files), the file's positions less the
 template's give the alignments, and an alignment counts if all the words looked up agree on it (the
 intersection by relative position). What is left is verified: all the template's words must stand at
 their places. A phrase stands nowhere without its rarest words, so no place is lost.
@@ -56,7 +55,7 @@ TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 class Index:
-    """Templates, and for each license word its postings (template, position)."""
+    """Templates, their labels, and the license words in them."""
 
     def __init__(self, phrases: list[tuple[str, str]]) -> None:
         self.templates = [p.split() for p, _ in phrases]
