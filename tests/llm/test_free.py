@@ -1,6 +1,7 @@
 """Media columns, the Jaccard join, packing, the language model and the classifier."""
 
 import collections
+import hashlib
 import itertools
 import math
 import random
@@ -344,6 +345,103 @@ def test_pipeline_keeps_the_tokens(spark):
     assert collections.Counter((r.doc_id, r.start, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in got) == want
 
 
+def corpus(seed=5):
+    """Rows of documents and labels: prose and junk, near and exact copies, personal data, empty and long texts, three sources and none."""
+    r = random.Random(seed)
+    good = lambda n: " ".join(f"good{r.randrange(60)}" for _ in range(n))
+    texts = [good(r.randrange(5, 120)) if i % 3 else " ".join(f"junk{r.randrange(30)}" for _ in range(r.randrange(5, 60))) for i in range(60)]
+    texts += [texts[1], texts[2] + " end", texts[4], good(40) + " mail a.b@example.com or 10.0.0.1", good(30) + " Mr John Smith, 10.0.0.1", "", None, good(6000)]
+    docs = [(i, t, "en", ["a", "b", "c", None][i % 4], len(t or "")) for i, t in enumerate(texts)]
+    return docs, [(i, int(i % 3 > 0)) for i in range(60)]
+
+
+def brute_mix(docs):
+    """The rows that the mix takes, by walking each source's run word by word; single spaces between words."""
+    names = sorted({d[3] for d in docs}, key=lambda x: (x is None, x or ""))
+    size = {n: sum(len((d[1] or "").split()) for d in docs if d[3] == n) for n in names}
+    weight = {n: (3.0, 1.0, 2.0)[i % 3] for i, n in enumerate(names)}
+    target, left, budget = {}, list(names), 1.5 * sum(size.values())
+    while left:
+        level = budget / sum(weight[n] for n in left)
+        full = [n for n in left if 2 * size[n] < level * weight[n]]
+        target |= {n: 2.0 * size[n] for n in full} if full else {n: level * weight[n] for n in left}
+        budget -= sum(target[n] for n in full)
+        left = [n for n in left if n not in full] if full else []
+    seats = round(sum(target.values()) / 16)
+    quotients = sorted((-target[n] / (2 * k + 1), i, n) for i, n in enumerate(names) for k in range(seats))[:seats]
+    digest = lambda x: hashlib.md5(x.encode()).hexdigest()
+    out = []
+    for rank, n in enumerate(names, 1):
+        ring = 2 * size[n]
+        quota = min(sum(q[2] == n for q in quotients), -(-ring // 16))
+        own = sorted((d for d in docs if d[3] == n), key=lambda d: digest(f"7:{d[0]}"))
+        laid = [(d, w, at == 0) for d in own for at, w in enumerate((d[1] or "").split())] * 2
+        first = int(digest(f"run 7:{rank}:0")[:15], 16) % ring // 16 * 16
+        rows_ = []
+        for at in range(first, first + min(quota * 16, ring)):
+            d, w, begins = laid[at % ring]
+            if begins or not rows_:
+                rows_.append((d, []))
+            rows_[-1][1].append(w)
+        out += [(d[0], " ".join(ws), d[2], d[3], len(" ".join(ws))) for d, ws in rows_]
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    from rankloom.llm import pii
+
+    docs, marks = corpus()
+    spark.createDataFrame(docs, DOCS + ", lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(corpus_pipeline, "shared_dir", lambda _, name: f"{tmp_path}/{name}")
+    corpus_pipeline.run(spark, str(tmp_path))
+    stage = {name: rows(spark.read.parquet(f"{tmp_path}/pipeline-{name}"), *(["doc_id", "text", "lang", "source", "n_chars"] if name != "packing" else ["doc_id", "start", "length", "sequence_id", "offset", "ids", "doc_tokens"])) for name, _ in corpus_pipeline.STAGES}
+
+    w = quality.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"), labels)
+    want = []
+    for d in docs:
+        ((at, x),) = quality.vectors(pa.array([d[1] or ""]))
+        if 1 / (1 + math.exp(-float(w[at] @ x))) >= 0.5:
+            want.append(d)
+    assert 40 <= len(want) < len(docs)
+    assert stage["quality"] == sorted(want, key=str)
+
+    first = {c for _, c, _ in brute_classes([d[:2] for d in want])}
+    assert len(first) < len(want)
+    want = [d for d in want if d[0] in first]
+    assert stage["near_duplicates"] == sorted(want, key=str)
+
+    private = re.compile(pii.ANY.replace(r"\p{Lu}", "[A-Z]").replace(r"\p{Ll}", "[a-z]"))
+    found = {m[0] for d in want for m in private.finditer(d[1] or "")}
+    assert found == {"a.b@example.com", "10.0.0.1", "Mr John Smith"}
+    drawn = spark.createDataFrame([(x,) for x in sorted(found)], "e string").select("e", pii.surrogate(F.col("e"), "rankloom", F.lit(0)).alias("s"))
+    other = {r.e: r.s for r in drawn.collect()}
+    texts = [None if d[1] is None else private.sub(lambda m: other[m[0]], d[1]) for d in want]
+    want = [(d[0], t, *d[2:4], len(t) if t is not None else None) for d, t in zip(want, texts, strict=True)]
+    assert stage["private_data"] == sorted(want, key=str)
+
+    want = brute_mix(want)
+    assert stage["mixing"] == sorted(want, key=str)
+
+    t = packing.tokenizer(vocabulary()).whole
+    pieces = []
+    for d in want:
+        ids = [*t.encode(d[1], add_special_tokens=False).ids, 2]
+        pieces += [(-len(ids[i : i + 4096]), d[0], i, tuple(ids[i : i + 4096]), len(ids)) for i in range(0, len(ids), 4096)]
+    pieces.sort()
+    free, places = [], []
+    for n, d, i, _, _ in pieces:
+        b = next((k for k, f in enumerate(free) if f >= -n), len(free))
+        free += [4096] * (b == len(free))
+        places.append((d, i, -n, b, 4096 - free[b]))
+        free[b] += n
+    assert sorted(r[:5] for r in stage["packing"]) == sorted(places)
+    assert sorted((-r[2], r[0], r[1], tuple(np.frombuffer(r[5], "<u4").tolist()), r[6]) for r in stage["packing"]) == pieces
+
+
 def test_pipeline_stages_in_turn(spark):
     import corpus_pipeline
 
