@@ -7,12 +7,20 @@ length of some rule's path. The candidates of all urls are the complete universe
 them answers exactly: level 1 encodes the listed keys, level 2 those other candidates that level 1
 lets through, level 3 the listed keys that level 2 lets through, and so on until none is left.
 
-The urls are judged without a join, inside the scan. Only what passes level 1 is ever shuffled when
-the cascade is built (the listed keys seen and a few false positives). A cascade is sent to the
-executors only up to `max_bytes`; longer lists are joined instead (`_judge_by_join`).
+The urls are judged without a join, inside the scan, by one path for lists of every length. Only what
+passes level 1 is ever shuffled when a cascade is built (the listed keys seen and a few false positives).
+Levels go to the executors as literals, one for each level. A list whose levels would be longer than
+`max_bytes` is dealt to parts by a hash of the key, each with a cascade of its own over its part of the
+universe; the urls then pass one part after the other, with the best rule so far written in between. So
+what is sent at once is bounded, and the verdicts are the same for any number of parts (tests).
+
+The longest rule wins; of two rules of one length (the same key listed with two verdicts, or a host and a
+path that are cut elsewhere) the verdict that comes first in the alphabet, then the rule that does.
 
 Defined results: a null url, or one without "://", has an empty host and path and fits nothing; an
-empty list or table is fine; repeated urls are judged alike; extra columns are kept aside.
+empty list or table is fine; repeated urls are judged alike; a url of any length is judged whole. The
+result has the columns of the urls and host, path, rule, verdict; a url column of one of these four names
+is replaced, any other one stays, whatever it is called.
 """
 
 from __future__ import annotations
@@ -25,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, keep
 
 BITMAP = 32768  # bits of one bitmap_construct_agg
-MAX_LEVELS = 60
+ADDED = ("host", "path", "rule", "verdict")
+MARK = "\x1f"  # between a verdict and a key; hosts, paths and verdicts of rules have none
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -60,18 +69,15 @@ class Cascade:
         places = F.explode(F.array(*[_place(F.col("key"), len(self.levels), i, bits) for i in range(hashes)]))
         maps = keys.select(places.alias("p")).groupBy(F.expr(f"p div {BITMAP}").alias("b")).agg(F.bitmap_construct_agg(F.expr(f"p % {BITMAP}")).alias("m"))
         data = bytearray(math.ceil(bits / BITMAP) * BITMAP // 8)
-        for r in maps.toLocalIterator():  # at most bits / 32768 rows, within max_bytes
+        for r in maps.toLocalIterator():  # at most bits / 32768 rows, within max_bytes of judge_urls
             data[r.b * BITMAP // 8 : r.b * BITMAP // 8 + len(r.m)] = r.m
         self.levels.append((bytes(data[: math.ceil(bits / 8)]), bits, hashes))
 
     def level_has(self, key: Column, level: int) -> Column:
         data, bits, hashes = self.levels[level]
-        found = F.lit(True)
-        for i in range(hashes):
-            p = _place(key, level, i, bits)
-            byte = F.conv(F.hex(F.substring(F.lit(bytearray(data)), (p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-            found = found & (F.call_function("shiftright", byte, (p % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)
-        return found
+        places = F.array(*[_place(key, level, i, bits) for i in range(hashes)])
+        byte = lambda p: F.conv(F.hex(F.substring(F.lit(bytearray(data)), F.floor(p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return F.forall(places, lambda p: F.call_function("shiftright", byte(p), (p % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)
 
     def contains(self, key: Column) -> Column:
         result = F.lit(len(self.levels) % 2 == 1)
@@ -85,52 +91,57 @@ def _place(key: Column, level: int, i: int, bits: int) -> Column:
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, size: int, universe_size: int) -> Cascade:
-    """listed(key): distinct. universe(key): may repeat keys; it is scanned once. Both sizes only set the rates."""
+    """listed(key): distinct. universe(key): may repeat keys; it is scanned once. Both sizes only set the rates.
+
+    Each level draws other hashes and lets some half of the keys through, so levels follow until none is left.
+    """
     cascade = Cascade()
     rate = min(0.5, max(1e-9, math.sqrt(0.5) * max(size, 1) / max(universe_size, 1)))
     cascade.add(listed, size, rate)
     inside, outside = listed, keep(universe.where(cascade.level_has(F.col("key"), 0)).distinct().join(listed, "key", "left_anti"))
-    while (n := outside.count()) and len(cascade.levels) < MAX_LEVELS:
+    while n := outside.count():
         cascade.add(outside, n, 0.5)
         inside, outside = outside, keep(inside.where(cascade.level_has(F.col("key"), len(cascade.levels) - 1)))
-    if n:
-        raise RuntimeError("the cascade did not come to an end")
     return cascade
 
 
 def judge_urls(urls: DataFrame, rules: DataFrame, default: str = "allow", max_bytes: int = 32 << 20) -> DataFrame:
-    """Adds host, path, rule and verdict to urls(url, ...). rules(host, path, verdict), keys distinct.
+    """Adds host, path, rule and verdict to urls(url, ...). rules(host, path, verdict).
 
-    The longest rule wins. Where none fits, rule is null and the verdict is `default`: the key is
-    listed nowhere.
+    Where no rule fits, rule is null and the verdict is `default`: the key is listed nowhere.
     """
-    rules = keep(rules.select(F.concat("host", "path").alias("key"), F.length("path").alias("n"), F.size(F.split("host", r"\.")).alias("labels"), "verdict"))
-    facts = rules.agg(F.count("*").alias("rules"), F.max("labels").alias("labels"), F.collect_set("n").alias("lengths")).first()
+    rules = keep(rules.select(F.concat("host", "path").alias("key"), F.length("path").alias("n"), F.size(F.split("host", r"\.")).alias("labels"), "verdict").distinct())
+    facts = rules.agg(F.count("*").alias("rules"), F.max("labels").alias("labels"), F.collect_set("n").alias("lengths"), F.sort_array(F.collect_set("verdict")).alias("kinds")).first()
+    parts = max(1, -(-4 * facts.rules // max_bytes))  # ten hashes on level 1 and what follows take some 3 bytes a rule
+    tagged = lambda k: F.array(*[F.concat(F.lit(f"{kind}{MARK}"), k) for kind in facts.kinds]) if facts.kinds else F.array().cast("array<string>")
+    part = lambda k: F.pmod(F.xxhash64(k, F.lit("part")), F.lit(parts))
+
     host, path = host_and_path(F.col("url"))
-    judged = urls.select(F.struct("*").alias("row"), host.alias("host"), path.alias("path"))
-    keys = candidate_keys(F.col("host"), F.col("path"), facts.labels or 1, facts.lengths)
-    if 4 * facts.rules > max_bytes:  # ten hashes on level 1 and what follows take some 3 bytes a rule
-        return _judge_by_join(judged, keys, rules, default)
-    kinds = sorted(r.verdict for r in rules.select("verdict").distinct().collect())
-    tag = lambda kind: lambda k: F.concat(F.lit(f"{kind} "), k)
-    tagged = [tag(kind)(F.col("key")) for kind in kinds]
-    universe = judged.select(F.explode(keys).alias("key")).select(F.explode(F.array(*tagged) if kinds else F.array().cast("array<string>")).alias("key"))
-    listed = rules.select(F.concat_ws(" ", "verdict", "key").alias("key"))
-    cascade = build_cascade(listed, universe, facts.rules, judged.count() * max(1, len(facts.lengths) * (facts.labels or 1) * len(kinds)))
-    member = lambda kind: lambda k: cascade.contains(tag(kind)(k))
-    hits = F.concat(F.array().cast("array<string>"), *[F.transform(F.filter("keys", member(kind)), tag(kind)) for kind in kinds])
-    longest = lambda a, b: F.length(F.substring_index(a, " ", -1)) - F.length(F.substring_index(b, " ", -1))
-    best = F.reduce(hits, F.lit(None).cast("string"), lambda a, b: F.when(a.isNull() | (longest(b, a) > 0), b).otherwise(a))
-    return judged.select("row", "host", "path", keys.alias("keys")).select("row", "host", "path", best.alias("best")).select(
-        "row.*", "host", "path", F.expr("substr(best, instr(best, ' ') + 1)").alias("rule"), F.coalesce(F.substring_index("best", " ", 1), F.lit(default)).alias("verdict")
-    )
-
-
-def _judge_by_join(judged: DataFrame, keys: Column, rules: DataFrame, default: str) -> DataFrame:
-    """The same result for lists too long to send to the executors: each distinct url's keys meet the rules in a join."""
-    near = judged.select("host", "path").distinct().select("host", "path", F.explode(keys).alias("key"))
-    best = near.join(rules.select("key", "verdict"), "key").groupBy("host", "path").agg(F.max_by(F.struct("key", "verdict"), F.length("key")).alias("best"))
-    return judged.join(best, ["host", "path"], "left").select("row.*", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    judged = urls.select(F.struct("*").alias("row"), host.alias("host"), path.alias("path")).withColumn("best", F.lit(None).cast("struct<n:int,verdict:string,rule:string>"))
+    keys = F.flatten(F.transform(candidate_keys(F.col("host"), F.col("path"), facts.labels or 1, facts.lengths), tagged))
+    size = judged.count() * max(1, len(facts.lengths) * (facts.labels or 1) * len(facts.kinds))
+    listed = rules.select(F.concat_ws(MARK, "verdict", "key").alias("key"))
+    for i in range(parts):
+        own = listed.where(part(F.col("key")) == i)
+        universe = judged.select(F.explode(keys).alias("key")).where(part(F.col("key")) == i)
+        cascade = build_cascade(own, universe, own.count() if parts > 1 else facts.rules, max(1, size // parts))
+        hits = F.filter(keys, lambda k: (part(k) == i) & cascade.contains(k))  # noqa: B023
+        named = F.transform(hits, _named)
+        judged = judged.withColumn("best", F.reduce(named, F.col("best"), _better))
+        judged = keep(judged) if i + 1 < parts else judged
+    kept = [F.col("row").getField(c).alias(c) for c in urls.columns if c not in ADDED]
+    return judged.select(*kept, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+
+
+def _named(hit: Column) -> Column:
+    """A verdict and a key, with MARK between, as (length of the key, verdict, key)."""
+    at = F.instr(hit, MARK)
+    return F.struct((F.length(hit) - at).alias("n"), F.substring(hit, F.lit(1), at - 1).alias("verdict"), F.substring(hit, at + 1, F.length(hit)).alias("rule"))
+
+
+def _better(a: Column, b: Column) -> Column:
+    first = (b["verdict"] < a["verdict"]) | ((b["verdict"] == a["verdict"]) & (b["rule"] < a["rule"]))
+    return F.when(a.isNull() | (b["n"] > a["n"]) | ((b["n"] == a["n"]) & first), b).otherwise(a)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,13 +28,26 @@ URLS = ["http://A.Example.NET/en/x?q", "http://example.net/enx", "http://net/",
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
-@pytest.mark.parametrize("max_bytes", [32 << 20, 0])
+@pytest.mark.parametrize("max_bytes", [32 << 20, 4])  # one part, and a part for each rule
 def test_urls(spark, max_bytes):
-    urls = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string").withColumn("key", F.lit(1)).withColumn("host_", F.lit(2))
-    got = url_filter.judge_urls(urls, spark.createDataFrame(RULES, "host string, path string, verdict string"), max_bytes=max_bytes)
+    rules = [*RULES, ("net", "/my dir/", "block"), ("net", "/my", "allow")]
+    urls = [*URLS, "http://net/my dir/x", "http://b.net/my/dir", "http://org/fr/" + "y" * 50_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("key", F.lit(1)).withColumn("best", F.lit(2)).withColumn("row", F.lit(3))
+    got = url_filter.judge_urls(df, spark.createDataFrame(rules, "host string, path string, verdict string"), max_bytes=max_bytes)
+    assert got.columns == [*df.columns, "host", "path", "rule", "verdict"]
     for r in got.collect():
-        assert (r.host, r.path, r.rule, r.verdict) == brute_verdict(r.url, RULES), r.url
-    assert got.count() == len(URLS)
+        assert (r.host, r.path, r.rule, r.verdict) == brute_verdict(r.url, rules), r.url
+        assert (r.key, r.best, r.row) == (1, 2, 3)
+    assert got.count() == len(urls)
+
+
+def test_url_columns_that_clash_are_replaced_and_ties_are_settled(spark):
+    urls = spark.createDataFrame([(1, "http://a.net/x/y", "old", 5, None, "v")], "page_id long, url string, host string, rule int, path string, verdict string")
+    rules = spark.createDataFrame([("a.net", "/x/", "block"), ("a.net", "/x/", "allow"), ("net", "/x/", "block")], "host string, path string, verdict string")
+    for most in (1, 1 << 20):
+        got = url_filter.judge_urls(urls, rules, max_bytes=most)
+        assert got.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+        assert tuple(got.select("host", "path", "rule", "verdict").first()) == ("a.net", "/x/y", "a.net/x/", "allow")
 
 
 def test_url_filter_without_rules_or_urls(spark):
