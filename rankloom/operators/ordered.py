@@ -17,16 +17,24 @@ def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
     return keep(df.repartitionByRange(parts, *order).withColumn("_rows_part", F.spark_partition_id()))
 
 
-def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
-    """Adds the sum of `value` over all rows before, by the order, as a long."""
+def running_sums(df: DataFrame, order: list[str], sums: dict[str, str], kind: str = "long") -> DataFrame:
+    """Adds for each value: name of `sums` the value's sum over all rows before, by the order, as `kind`."""
     rows = _ranged(df, order)
     inside = Window.partitionBy("_rows_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("_rows_part").agg(F.sum(value).alias("_rows_sum"))
-    before = sums.select("_rows_part", F.coalesce(F.sum("_rows_sum").over(Window.orderBy("_rows_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_rows_before"))
-    rows = rows.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return rows.join(F.broadcast(before), "_rows_part").withColumn(name, (F.col(name) + F.col("_rows_before")).cast("long")).drop("_rows_part", "_rows_before")
+    parts = rows.groupBy("_rows_part").agg(*[F.sum(v).alias(f"_rows_sum{i}") for i, v in enumerate(sums)])
+    upto = Window.orderBy("_rows_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    before = parts.select("_rows_part", *[F.coalesce(F.sum(f"_rows_sum{i}").over(upto), F.lit(0)).alias(f"_rows_before{i}") for i in range(len(sums))])
+    rows = rows.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_rows_own{i}") for i, v in enumerate(sums)])
+    rows = rows.join(F.broadcast(before), "_rows_part")
+    named = [(F.col(f"_rows_own{i}") + F.col(f"_rows_before{i}")).cast(kind).alias(name) for i, name in enumerate(sums.values())]
+    return rows.select(*[F.col(c) for c in df.columns if c not in sums.values()], *named)
+
+
+def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Adds the sum of `value` over all rows before, by the order, as a long."""
+    return running_sums(df, order, {value: name})
 
 
 def dense_number(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Adds 0, 1, 2, ... by the order."""
-    return running_sum(df.withColumn("_rows_one", F.lit(1)), order, "_rows_one", name).drop("_rows_one")
+    return running_sums(df.withColumn("_rows_one", F.lit(1)), order, {"_rows_one": name}).drop("_rows_one")
