@@ -14,7 +14,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from rankloom.llm import jaccard, lm, media, packing, quality
+from rankloom.llm import jaccard, lm, media, mixing, packing, quality
 from rankloom.llm.common import run_hashes, text_chunks, word_hashes
 
 DOCS = "doc_id long, text string"
@@ -355,8 +355,8 @@ def corpus(seed=5):
     return docs, [(i, int(i % 3 > 0)) for i in range(60)]
 
 
-def brute_mix(docs):
-    """The rows that the mix takes, by walking each source's run word by word; single spaces between words."""
+def brute_mix(docs, tie):
+    """The rows that the mix takes, by walking each source's run word by word; single spaces between words. tie: by doc_id."""
     names = sorted({d[3] for d in docs}, key=lambda x: (x is None, x or ""))
     size = {n: sum(len((d[1] or "").split()) for d in docs if d[3] == n) for n in names}
     weight = {n: (3.0, 1.0, 2.0)[i % 3] for i, n in enumerate(names)}
@@ -374,7 +374,7 @@ def brute_mix(docs):
     for rank, n in enumerate(names, 1):
         ring = 2 * size[n]
         quota = min(sum(q[2] == n for q in quotients), -(-ring // 16))
-        own = sorted((d for d in docs if d[3] == n), key=lambda d: digest(f"7:{d[0]}"))
+        own = sorted((d for d in docs if d[3] == n), key=lambda d: digest(f"7:{d[0]}:{tie[d[0]]}"))
         laid = [(d, w, at == 0) for d in own for at, w in enumerate((d[1] or "").split())] * 2
         first = int(digest(f"run 7:{rank}:0")[:15], 16) % ring // 16 * 16
         rows_ = []
@@ -423,7 +423,8 @@ def test_pipeline_against_brute_force(spark, tmp_path, monkeypatch):
     want = [(d[0], t, *d[2:4], len(t) if t is not None else None) for d, t in zip(want, texts, strict=True)]
     assert stage["private_data"] == sorted(want, key=str)
 
-    want = brute_mix(want)
+    before = spark.read.parquet(f"{tmp_path}/pipeline-private_data")
+    want = brute_mix(want, {r.doc_id: r.tie for r in before.select("doc_id", mixing.content(before).alias("tie")).collect()})
     assert stage["mixing"] == sorted(want, key=str)
 
     t = packing.tokenizer(vocabulary()).whole

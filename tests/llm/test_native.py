@@ -266,6 +266,28 @@ def test_mix(spark):
         assert rows(made) == rows(mixing.mix(docs, **options))
 
 
+def test_mix_keeps_columns_of_any_name_and_tells_ties_apart(spark):
+    rows_ = [(4, "a", 10, f"v{i % 4}", 1.5) for i in range(40)] + [(None, None, 3, "n", 0.0)] * 5
+    docs = spark.createDataFrame(rows_, "doc_id long, source string, size long, rank string, target double")
+    made = mixing.mix(docs)
+    assert made.columns == ["doc_id", "source", "size", "rank", "source_size", "target", "start", "taken"]
+    assert rows(made, "doc_id", "source", "size", "rank") == sorted([r[:4] for r in rows_], key=str)
+    assert rows(made) == rows(mixing.mix(docs.repartition(7)))
+    assert sum(r.taken for r in made.collect()) == pytest.approx(1.5 * 415, abs=32)
+    texts = spark.createDataFrame([(1, f"w{i} x y z", "s") for i in range(8)] + [(1, "same as this", "s")] * 4, "doc_id long, text string, source string")
+    assert rows(mixing.take(texts)) == rows(mixing.take(texts.repartition(5)))
+
+
+def test_many_sources_are_shared_in_ranges(spark):
+    docs = spark.range(600).select("id", F.concat(F.lit("s"), F.col("id") % 150).alias("source"), (F.col("id") % 37).alias("size")).withColumnRenamed("id", "doc_id")
+    got = mixing.mix(docs, block=4).collect()
+    size = {}
+    for r in got:
+        size[r.source] = size.get(r.source, 0) + r.size
+    assert {r.source: r.target for r in got} == pytest.approx(brute_targets(size))
+    assert sum(r.taken for r in got) == pytest.approx(1.5 * sum(size.values()), abs=150 * 4)
+
+
 def test_mix_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, size long")
     assert mixing.mix(docs).count() == 0
@@ -275,7 +297,7 @@ def test_mix_of_nothing(spark):
 
 def test_take_writes_out_what_the_mix_takes(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(n)) + "\n", s, 0, "e") for i, (s, n) in enumerate([("a", 50), ("b", 400), ("c", 90), ("a", 33), ("b", 1)] * 4)], "doc_id long, text string, source string, n_chars long, size string")
-    taken = {r.doc_id: r.taken for r in mixing.mix(docs.select("doc_id", "source", mixing.sizes(docs).alias("size"))).collect()}
+    taken = {r.doc_id: r.taken for r in mixing.mix(docs.select("doc_id", "source", mixing.sizes(docs).alias("size"), mixing.content(docs).alias("c")), tie="c").collect()}
     out = mixing.take(docs)
     assert out.columns == docs.columns
     words = {}
