@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import delete, keep, shared_dir
 
-__all__ = ["SPACES", "WORD", "ascii_lower", "delete", "keep", "mix", "run_hashes", "shared_dir", "text_chunks", "word_hashes"]
+__all__ = ["SPACES", "WORD", "ascii_lower", "delete", "keep", "mix", "run_hashes", "shared_dir", "small_batches", "text_chunks", "word_hashes"]
 
 #: The ASCII white space of the word pattern [^\x20\x09-\x0D]+.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -20,6 +20,21 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_SPARKS_OWN = "67108864b"  # its default
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; Arrow batches in its session get 4 MB at most, unless the session has a bound of its own.
+
+    A batch is held several times over on its way through a worker, by each of an executor's tasks.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == _SPARKS_OWN:
+        conf.set(_BATCH, "4m")
+    return df
+
+
 # ---- vectorised words -------------------------------------------------------------------
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -46,7 +61,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def text_chunks(column: pa.Array, most: int = 2 << 20):
+def text_chunks(column: pa.Array, most: int = 1 << 19):
     """Splits an Arrow string column into runs of rows of about `most` bytes.
 
     Yields (first row, row after the last, bytes, offsets into them); nulls are empty. One text

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import WORD, keep, mix, text_chunks, word_hashes
+from .common import WORD, keep, mix, small_batches, text_chunks, word_hashes
 from .url_filter import Cascade, build_cascade
 
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 2_000_000
@@ -109,7 +109,7 @@ def sketches(docs: DataFrame, words: int, trees: int, depth: int, seed: int) ->
             n = np.concatenate(sizes) if sizes else np.zeros(0, int)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), lists], names=["doc_id", "key", "n", "nodes"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, key binary, n long, nodes array<long>")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, key binary, n long, nodes array<long>")
 
 
 def with_set_key(docs: DataFrame, words: int) -> DataFrame:
@@ -122,7 +122,7 @@ def with_set_key(docs: DataFrame, words: int) -> DataFrame:
             keys = [set_key(s) for _, _, data, offsets in text_chunks(batch.column(at)) for s in shingle_sets(data, offsets, words)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=names)
 
-    return docs.mapInArrow(keyed, schema)
+    return small_batches(docs).mapInArrow(keyed, schema)
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, shared_dir, text_chunks, word_hashes
+from .common import mix, shared_dir, small_batches, text_chunks, word_hashes
 from .media import file_system
 
 END = np.uint64(0x8F14E45FCEEA167A)
@@ -188,7 +188,7 @@ def count_words(texts: DataFrame, folder: str, shards: int) -> tuple[Words, int,
         top = np.argsort(-c, kind="stable")[:16]
         return pa.table({"shard": [s], "n": [len(k)], "total": [int(c.sum())], "top": pa.array([top.tolist()], pa.list_(pa.int64())), "most": pa.array([c[top].tolist()], pa.list_(pa.int64()))})
 
-    made = texts.mapInArrow(combine, PACKED).groupBy("shard").applyInArrow(merge, "shard long, n long, total long, top array<long>, most array<long>")
+    made = small_batches(texts).mapInArrow(combine, PACKED).groupBy("shard").applyInArrow(merge, "shard long, n long, total long, top array<long>, most array<long>")
     found = {r.shard: r for r in made.collect()}  # a row a shard
     for s in set(range(shards)) - set(found):
         write_arrays(folder, f"uni-{s}", hashes=np.zeros(0, "<u8"), counts=np.zeros(0, "<i8"))
@@ -385,7 +385,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             columns = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)] or [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scored, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(scored, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import shared_dir
+from .common import shared_dir, small_batches
 
 WIDTH = 64
 SCHEMA = "doc_id long, n_bytes long, payload binary, media binary, feature string, error string"
@@ -132,7 +132,7 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 64 << 20)
             close()
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64())], names=["n"])
 
-    return docs.select("doc_id", "payload").mapInArrow(store, "n long").agg(F.sum("n").alias("n")).first().n or 0
+    return small_batches(docs).select("doc_id", "payload").mapInArrow(store, "n long").agg(F.sum("n").alias("n")).first().n or 0
 
 
 class Range(InputPartition):
