@@ -1,16 +1,20 @@
 """Packing documents into sequences: first-fit decreasing in randomised groups of documents.
 
 Documents are tokenized, end with an id of their own, and are cut at multiples of the sequence length.
-Documents are dealt to groups by a seeded hash of their ids, about `group` in each. Within a group the
-pieces go, the longest first, each into the first sequence that has room. A tournament tree over the
-sequences' free room finds that one in log time: each inner node has the most room below it.
+Documents are dealt to groups by a seeded hash of their ids and contents, about `group` in each. Within a
+group the pieces go, the longest first, each into the first sequence that has room. A tournament tree over
+the sequences' free room finds that one in log time: each inner node has the most room below it.
 
 At scale: the texts never move; what is shuffled is a row of numbers for each piece (and its ids where
-`keep_ids` asks for them). Groups are alike in size whatever the sources are, and one group is one task's
-work. Tokenizing remembers the ids of words it has met, up to `MOST_WORDS`, then starts anew.
-
-Defined results: a null or empty text is the end id alone; a null doc_id is kept and dealt as one; equal
-rows are packed each; an empty table gives an empty result.
+`keep_ids` asks for them; they are never copied or sorted). Rows of one doc_id, or without one, and copies
+of a row are dealt to different groups, so groups are alike in size whatever a third of the rows share, and
+one group is one task's work. Tokenizing remembers the ids of words it has met, up to `MOST_WORDS`, then
+starts anew.
+
+Ties: pieces of one length go by doc_id, start and the ids' CRC; pieces equal in these are alike. Defined
+results: a null or empty text is the end id alone; a null doc_id is kept; a text of any length is packed
+whole; equal rows are packed each; extra columns are left out, whatever they are called; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,11 +24,15 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MOST_WORDS = 500_000
+from .common import small_batches
+
+MOST_WORDS = 250_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -89,23 +97,28 @@ def tokenizer(path: str) -> WordTokenizer:
 
 
 def pieces(docs: DataFrame, path: str, length: int, end: int, keep_ids: bool) -> DataFrame:
-    schema = PIECES + (", ids binary" if keep_ids else "")
+    """A row for each piece; `_deal` is the same for the pieces of a row, and another one for a further copy of it."""
+    schema = PIECES + ", _deal long" + (", ids binary" if keep_ids else "")
     last = struct.pack("<I", end)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode
+        encode, task = tokenizer(path).encode, TaskContext.get().partitionId()
+        met: dict[tuple[int | None, int], int] = {}  # a row of the task's each
         for batch in batches:
             rows: list[list] = [[] for _ in schema.split(",")]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encode(text.as_py() or "") + last
+                whole = zlib.crc32(ids)
+                copy = met[doc_id, whole] = met.get((doc_id, whole), -1) + 1
+                deal = whole | (task & 0xFFFFF) << 32 | (copy & 0x7FF) << 52
                 for i in range(0, len(ids), 4 * length):
                     part = ids[i : i + 4 * length]
-                    for column, value in zip(rows, (doc_id, i // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, part), strict=False):
+                    for column, value in zip(rows, (doc_id, i // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, deal, part), strict=False):
                         column.append(value)
-            kinds = [pa.int64()] * 5 + [pa.binary()] * keep_ids
+            kinds = [pa.int64()] * 6 + [pa.binary()] * keep_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(cut, schema)
 
 
 def first_fit(lengths: list[int], room: int) -> tuple[list[int], list[int]]:
@@ -135,15 +148,18 @@ def first_fit(lengths: list[int], room: int) -> tuple[list[int], list[int]]:
 def pack(docs: DataFrame, path: str, length: int = 4096, end: int = 2, group: int = 4096, seed: int = 7, keep_ids: bool = False) -> DataFrame:
     """docs(doc_id, text) -> a row for each piece, with its sequence_id and its offset there."""
     groups = max(1, -(-docs.count() // group))
-    cut = pieces(docs, path, length, end, keep_ids).withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(groups)))
+    cut = pieces(docs, path, length, end, keep_ids).withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_deal"), F.lit(groups))).drop("_deal")
     schema = cut.drop("_group").schema.add("sequence_id", "long").add("offset", "long")
 
     def fit(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
-        bins, offsets = first_fit(table.column("length").to_pylist(), length)
+        table = table.combine_chunks()
+        n, ids, start, crc = (table.column(c).fill_null(-1 << 63).to_numpy() for c in ("length", "doc_id", "start", "ids_crc32"))
+        order = np.lexsort((crc, start, ids, -n))
+        bins, offsets = first_fit(n[order].tolist(), length)
+        placed = np.zeros((2, len(n)), np.int64)
+        placed[:, order] = bins, offsets
         first = table.column("_group")[0].as_py() << 32
-        out = table.drop_columns(["_group"])
-        return out.append_column("sequence_id", pa.array([first + b for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
+        return table.drop_columns(["_group"]).append_column("sequence_id", pa.array(placed[0] + first)).append_column("offset", pa.array(placed[1]))
 
     return cut.groupBy("_group").applyInArrow(fit, schema)
 
