@@ -88,6 +88,32 @@ def test_license_words_fold_ascii_only(spark):
     assert got == {1: (2, []), 2: (2, []), 3: (11, ["mit"]), 4: (4, ["mit"])}
 
 
+def test_scores_count_words_in_their_places(spark):
+    index = licenses.Index(licenses.PHRASES)
+    mit = next(i for i, t in enumerate(index.templates) if "sublicense" in t)
+    whole = " ".join("of" if w == "*" else w for w in index.templates[mit])
+    words = whole.split()
+    texts = ["the the public license of general use", "use the source, in binary forms: redistribution", "lead in. " + whole.upper() + "!", " ".join(words[:5] + words[6:]), " ".join(words[12:40]), "general public licence", "now general public license now"]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert 0 < got[0].score < 1
+    assert 0 < got[1].score < 1
+    assert got[0].labels == got[1].labels == []
+    assert (got[2].score, got[2].labels, [p.start for p in got[2].places]) == (1.0, ["mit"], [2, 2])  # by the text, and by its first phrase
+    assert got[3].labels == []  # a word is missing: what follows stands elsewhere
+    assert 0.3 < got[3].score < 1
+    assert 0 < got[4].score < 1
+    assert got[5].labels == [] and got[5].score < 1
+    assert (got[6].score, got[6].labels) == (1.0, ["gpl"])
+
+
+def test_the_words_looked_up_lose_no_whole_match(spark):
+    # thirty rarer license words than those of the phrase are in the file
+    other = sorted({w for t in licenses.Index(licenses.PHRASES).templates for w in t} - {"*", "isc", "license"})
+    docs = [(0, " ".join(other) + " isc license")] + [(i, "isc license") for i in range(1, 50)]
+    got = licenses.scan(spark.createDataFrame(docs, DOCS)).where("doc_id = 0").first()
+    assert "isc" in got.labels
+
+
 def brute_mark(text):
     md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
     sections = [[md5(p) for p in re.findall(fingerprints.PARAGRAPH, s)] for s in text.split("\n")]
