@@ -3,7 +3,8 @@
 Types: email addresses, telephone numbers, IPv4 addresses, card numbers, US social security numbers,
 IBANs, cloud access keys, secrets given as `name = "value"`, and names after a title. A surrogate is
 drawn by a keyed hash of the entity: digits stay digits, letters stay letters of their script and case,
-separators stay, card numbers keep their check digit's rule, octets stay octets, and a name is drawn from
+separators stay, card numbers and IBANs keep their check digits' rules, social security numbers stay in the
+ranges that are given out, octets stay octets, and a name is drawn from
 names of the title's gender (of the word's script; other scripts are drawn by letter). So an entity has
 the same surrogate in every text (coreference).
 
@@ -16,7 +17,9 @@ the replacements are joined instead (`_rewrite_by_join`).
 At scale: texts never move (on the main path). What is shuffled are the distinct entities, combined in
 each task first, so an entity in a third of all rows is one row a task.
 
-Defined results: a null text stays null with no entities; an empty one stays empty; texts without
+Ties: of entities that draw alike the first by (attempt, canonical form) keeps what it drew, so reruns agree.
+Defined results: a text of any length is rewritten whole; extra columns come back as they are, whatever they
+are called (`replace` adds `_entities`, in place of a column of that name; `rewrite` keeps even that); a null text stays null with no entities; an empty one stays empty; texts without
 entities come back byte for byte; repeated rows are rewritten alike; an empty table gives an empty result.
 """
 
@@ -131,6 +134,29 @@ def _card(text: Column, seed: Column) -> Column:
     return let(body, lambda b: F.concat(b, F.when(F.pmod(_luhn(text, n), F.lit(10)) == 0, right(b)).otherwise(_draw(seed, F.lit(99), DIGITS))))
 
 
+def _rest97(number: Column) -> Column:
+    """The remainder by 97 of an IBAN's digits, with its first four signs last and letters as 10 to 35."""
+    signs = F.regexp_replace(number, "[^0-9A-Z]", "")
+    turned = F.concat(F.substring(signs, F.lit(5), F.length(signs)), F.substring(signs, 1, 4))
+    value = lambda c: F.when(c.rlike("[A-Z]"), F.ascii(c) - 55).otherwise(F.ascii(c) - 48)
+    return F.reduce(F.transform(F.split(turned, ""), value), F.lit(0), lambda a, v: F.pmod(a * F.when(v > 9, F.lit(100)).otherwise(F.lit(10)) + v, F.lit(97)))
+
+
+def _iban(text: Column, seed: Column) -> Column:
+    """The country stays; the check digits are right if they were right before."""
+    drawn = F.concat(F.substring(text, 1, 2), F.lit("00"), F.substring(_same_shape(text, seed), F.lit(5), F.length(text)))
+    check = lambda d: F.lpad((F.lit(98) - _rest97(d)).cast("string"), 2, "0")
+    wrong = F.concat(_draw(seed, F.lit(98), DIGITS), _draw(seed, F.lit(99), DIGITS))
+    return let(drawn, lambda d: F.concat(F.substring(d, 1, 2), F.when(_rest97(text) == 1, check(d)).otherwise(wrong), F.substring(d, F.lit(5), F.length(d))))
+
+
+def _ssn(seed: Column) -> Column:
+    """Areas 001 to 665, groups and serial numbers from 1 on."""
+    two = lambda i: _byte(seed, F.lit(2 * i)) * 256 + _byte(seed, F.lit(2 * i + 1))
+    part = lambda i, most, n: F.lpad((F.pmod(two(i), F.lit(most)) + 1).cast("string"), n, "0")
+    return F.concat_ws("-", part(0, 665, 3), part(1, 99, 2), part(2, 9999, 4))
+
+
 def _name(text: Column, seed: Column) -> Column:
     words = F.split(text, " ")
     n = F.size(words)
@@ -163,12 +189,11 @@ def surrogate(entity: Column, key: str, attempt: Column) -> Column:
             F.when(what == "secret", F.regexp_extract(e, r"^[^=:]*[=:]\s*", 0))
             .when(what == "phone", F.regexp_extract(e, r"^\+(?:\d{1,3}(?=\D)|\d)", 0))
             .when(what == "access_key", F.substring(e, 1, 4))
-            .when(what == "iban", F.substring(e, 1, 2))
             .otherwise(F.lit(""))
         )
         digits = (what == "secret") & e.rlike(r"[=:]\s*[\"']?[0-9a-f]+[\"']?$")  # a value in hexadecimal stays one
         shaped = F.when(digits, _after(head, e, seed, "abcdef")).otherwise(_after(head, e, seed))
-        return F.when(what == "email", _email(e, seed)).when(what == "ip", _octets(e, seed)).when(what == "card", _card(e, seed)).when(what == "name", _name(e, seed)).otherwise(shaped)
+        return F.when(what == "email", _email(e, seed)).when(what == "ip", _octets(e, seed)).when(what == "iban", _iban(e, seed)).when(what == "ssn", _ssn(seed)).when(what == "card", _card(e, seed)).when(what == "name", _name(e, seed)).otherwise(shaped)
 
     return let(entity, lambda e: let(kind(e), lambda what: let(_stream(_canonical(e, what), key, attempt), lambda seed: drawn(e, what, seed))))
 
