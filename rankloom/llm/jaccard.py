@@ -20,8 +20,10 @@ clustered documents are shuffled, once a block pair; the others are kept back by
 wanted ids, where that is small. Work grows as the square of a cluster only in the block pairs, spread
 over tasks: counting every link of a group needs it.
 
-Defined results: a null text is empty; texts without words are copies of each other; equal rows are
-copies; a class's id is its smallest doc_id (null only if all its ids are); an empty table gives an
+Ties: of sets with equal ids the smaller key stands for both, and a class's id is a minimum, so results don't
+depend on order. Defined results: a null text is empty; texts without words are copies of each other; equal
+rows are copies; a text of any length is taken whole; doc_ids are integers; extra columns are left out by
+`join_similar` and kept by `keep_one`, whatever they are called; a class's id is its smallest doc_id (null only if all its ids are); an empty table gives an
 empty result. doc_ids are taken to name documents: of rows with one doc_id in one class `keep_one` keeps
 those of equal text once. Rows without a doc_id count by their class too: `keep_one` drops them where a row
 of the class has an id, and else keeps one, a row of the set by which the class is named, the first by text.
@@ -257,8 +259,9 @@ def join_similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, trees:
     links = verified.groupBy("key").agg(F.sum("links").alias("links"))
 
     named = distinct.select("key", "first", "copies").join(components.withColumnRenamed("v", "key"), "key", "left").join(links, "key", "left")
-    named = named.select("key", "first", "copies", F.coalesce("component", "key").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
-    classes = named.groupBy("component").agg(F.min("first").alias("class_id"))
+    named = keep(named.select("key", "first", "copies", F.coalesce("component", "key").alias("component"), F.coalesce("links", F.lit(0)).alias("links")))
+    # written, so that the join below is of two plain exchanges, which can be split where a class is large
+    classes = keep(named.groupBy("component").agg(F.min("first").alias("class_id")))
     head = [F.when(F.col("class_id").isNull() & (F.col("key") == F.col("component")), F.col("key")).alias("head")] if heads else []
     named = keep(named.join(classes, "component").select("key", "class_id", "copies", (F.col("copies") - 1 + F.col("links")).alias("n_links"), *head))
     return sketched.select("doc_id", "key").join(named, "key").select("doc_id", "class_id", F.col("copies").alias("n_copies"), "n_links", *["head"] * heads)
