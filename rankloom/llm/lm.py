@@ -18,7 +18,9 @@ with p(w) the distinct predecessors of w, and D from the counts of counts, one f
 An unknown history leaves P(w), an unknown word gamma / (V + 1). The order is 2: see the README.
 
 Defined results: a null text is empty, so its only token is the end; null doc_ids count as an empty text
-for the split; equal rows are all counted; without training rows every word is unknown and N is 0.
+for the split; equal rows are all counted; a text of any length is read whole, in a run of its own; of
+ties there are none, as counts and scores don't depend on order; extra columns are left out, whatever they
+are called; without training rows every word is unknown and N is 0.
 """
 
 from __future__ import annotations
@@ -185,7 +187,7 @@ def count_words(texts: DataFrame, folder: str, shards: int) -> tuple[Words, int,
         s = table.column("shard")[0].as_py()
         k, c = _summed(_joined(table, 0, "a", "<u8"), _joined(table, 0, "b", "<u4").astype(np.int64))
         write_arrays(folder, f"uni-{s}", hashes=k, counts=c)
-        top = np.argsort(-c, kind="stable")[:16]
+        top = np.argsort(-c, kind="stable")[:256]  # with a quarter of the mean each, more would be 64 shards' worth in one
         return pa.table({"shard": [s], "n": [len(k)], "total": [int(c.sum())], "top": pa.array([top.tolist()], pa.list_(pa.int64())), "most": pa.array([c[top].tolist()], pa.list_(pa.int64()))})
 
     made = small_batches(texts).mapInArrow(combine, PACKED).groupBy("shard").applyInArrow(merge, "shard long, n long, total long, top array<long>, most array<long>")
@@ -388,13 +390,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(scored, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
+def shards_for(docs: DataFrame, most: int = 128 << 20) -> int:
+    """Shards of about `most` bytes of what is read, and no fewer than the shuffle's partitions."""
+    read = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-read // most), 1 << 16))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards_for(docs)
     model = train(docs.where(~held_out(F.col("doc_id"))).select("text"), shared_dir(spark, "lm"), shards)
     scored = score(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

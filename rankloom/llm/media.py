@@ -14,8 +14,9 @@ fails, or with onerror = "null" the member comes back with null columns and its
 
 Paths are URIs of any file system that pyarrow knows (file, hdfs, s3, gs); plain paths are local ones.
 
-Defined results: a null or empty payload is one row of 64 zero bytes; a null doc_id comes back null;
-repeated rows are stored each; an empty folder or table gives an empty result.
+Defined results: a null or empty payload is one row of 64 zero bytes; a null doc_id comes back null; a
+payload of any length is one member, held whole while it is written or read; repeated rows and ties are
+stored each; extra columns are left out, whatever they are called; an empty folder or table gives an empty result.
 """
 
 from __future__ import annotations
