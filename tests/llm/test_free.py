@@ -50,6 +50,18 @@ def test_media_round_trip(spark, tmp_path):
     assert media.write_archives(payloads.where("false"), str(tmp_path / "e")) == 0
 
 
+def test_media_query_by_brute_force(spark, sf):
+    texts = collections.Counter((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    want = collections.Counter()
+    for (i, t), times in texts.items():
+        data = t.encode()
+        payload = data + bytes(-len(data) % 64 if data else 64)
+        image = media.to_image(data)
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        want[i, len(data), len(payload), sha(payload), zlib.crc32(payload[-64:]), len(image), sha(image), media.describe(payload)] += times
+    assert collections.Counter(map(tuple, media.query(spark, sf).collect())) == want
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 100_000])
 def test_images_hold_the_bytes(n):
     data = random.Random(n).randbytes(n)
@@ -144,7 +156,9 @@ def test_classes_and_links(spark, monkeypatch, seed, block):
     assert rows(got, "doc_id", "class_id", "n_links") == sorted(brute_classes(docs), key=str)
 
 
-def test_one_of_each_class_stays(spark):
+@pytest.mark.parametrize("most", [12_000_000, 0])
+def test_one_of_each_class_stays(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "MOST_FILTERED", most)  # the wanted ids in a filter, or joined
     docs = near_copies(3)
     df = spark.createDataFrame(docs, DOCS).withColumn("key", F.lit("k"))
     kept = jaccard.keep_one(df)
@@ -239,6 +253,17 @@ def test_pieces_and_sequences(spark, length):
     assert packing.pack(docs.where("false"), vocabulary()).count() == 0
 
 
+def test_rows_of_one_id_are_dealt_to_many_groups(spark):
+    docs = spark.createDataFrame([(None, f"text {i}") for i in range(600)] + [(1, "the same")] * 600, DOCS).repartition(6)
+    got = packing.pack(docs, vocabulary(), group=50).collect()
+    groups = collections.Counter((r.doc_id, r.sequence_id >> 32) for r in got)
+    assert len(got) == 1200
+    assert max(groups.values()) < 120
+    texts = spark.createDataFrame([(4, f"w{i} x") for i in range(8)], DOCS)
+    a, b = (sorted(map(tuple, packing.pack(texts.coalesce(1).orderBy(F.col("text").desc() if k else F.col("text")).coalesce(1), vocabulary(), group=100).collect())) for k in (0, 1))
+    assert a == b
+
+
 def test_first_fit_takes_the_first_that_fits():
     r = random.Random(1)
     for n in (0, 1, 5, 300):
@@ -318,6 +343,38 @@ def test_classifier_on_rows_it_has_not_seen(spark):
     assert rows(got) == rows(quality.query(spark, sf))
 
 
+def test_learning_and_scores_by_brute_force(spark):
+    docs, marks = corpus(8)
+    df = spark.createDataFrame(docs, DOCS + ", lang string, source string, n_chars long")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    order = labels.select("doc_id", "quality", F.xxhash64(F.lit(7), "doc_id").alias("at"), quality.held_out(F.col("doc_id")).alias("out")).collect()
+    order = [r for r in sorted(order, key=lambda r: r["at"]) if not r.out][:30]
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    weight = lambda i: 0.0 if abs(z[i]) <= 1e-3 else (math.copysign(1e-3, z[i]) - z[i]) / ((1 + math.sqrt(n[i])) / 0.5 + 1e-3)
+    parsed = {d[0]: [(int(i), float(x)) for i, x in zip(*next(iter(quality.vectors(pa.array([d[1] or ""])))), strict=True)] for d in docs}
+    for _ in range(2):
+        for r in order:
+            row = parsed[r.doc_id]
+            p = 1 / (1 + math.exp(-sum(weight(i) * x for i, x in row)))
+            for i, x in row:
+                g, w = (p - r.quality) * x, weight(i)
+                z[i], n[i] = z[i] + g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.5 * w, n[i] + g * g
+    w = quality.fit(df, labels, most_rows=30)
+    assert {int(i) for i in np.flatnonzero(w)} <= set(z)
+    assert max(abs(w[i] - weight(i)) for i in z) < 1e-5
+    got = {r.doc_id: r.score for r in quality.score(df, w).collect()}
+    for d in docs:
+        assert got[d[0]] == pytest.approx(1 / (1 + math.exp(-sum(weight(i) * x for i, x in parsed[d[0]]))), abs=1e-5)
+
+
+def test_features_are_all_words_and_pairs():
+    (at, x), (empty, _) = quality.vectors(pa.array(["a b a, a a", ""]))
+    # words a b a , a a; pairs ab ba a, ,a aa; again: the last one but one twice (a b a, a , a), the last one once
+    assert len(empty) == 1
+    assert len(at) == 3 + 5 + 1 + 1
+    assert sorted((x[:-1] * 14 / quality.SCALE).round().astype(int).tolist()) == [1, 1, 1, 1, 1, 1, 1, 3, 4]
+
+
 def test_classifier_without_labels_or_rows(spark):
     docs = spark.createDataFrame(TEXTS, DOCS).withColumn("score", F.lit("s"))
     labels = spark.createDataFrame([(0, None), (77, 1)], "doc_id long, quality int")

@@ -136,6 +136,13 @@ def test_fingerprints(spark, ranges):
         assert 0 <= r.near_next <= 1
 
 
+def test_edits_are_found_by_going_down(spark):
+    pairs = [("a. b. c.\nd. e.\nf.", "a. X. c.\nd. e.\nf. g."), ("a", "a"), ("", "a"), ("a\n\nb", "a\n\nb\n"), ("a. b.", "a. b.\nc.")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = [sorted(map(tuple, r.e)) for r in df.select(fingerprints.edits(fingerprints.tree(F.col("a")), fingerprints.tree(F.col("b"))).alias("e")).collect()]
+    assert got == [[(0, 1), (2, 1)], [], [(0, 0)], [(3, -1)], [(1, 0)]]
+
+
 def test_fingerprints_of_one_and_none(spark):
     one = spark.createDataFrame([(5, "abcd")], DOCS)
     assert fingerprints.compare(one, 4).first().edited_sha256 == hashlib.sha256(b"abca").hexdigest()
@@ -217,7 +224,52 @@ def test_a_key_of_letters_only_is_replaced(spark):
     assert got[2] == got[1] + " 2"
 
 
-def test_colliding_surrogates_are_drawn_again(spark):
+def rest97(iban):
+    signs = [c for c in iban if c.isalnum()]
+    return int("".join(str(int(c, 36)) for c in signs[4:] + signs[:4])) % 97
+
+
+def test_numbers_stay_valid(spark):
+    ibans = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "DE00 3704 0044 0532 0130 00", "FR1420041010050500013M02606"]
+    docs = spark.createDataFrame([(i, f"an {x} here") for i, x in enumerate(ibans)] + [(100 + i, f"so {i:03d}-12-{i:04d} it is") for i in range(1, 300)], DOCS)
+    got = {r.doc_id: r.text for r in pii.replace(docs, "key").collect()}
+    for i, x in enumerate(ibans):
+        new = got[i][3:-5]
+        assert new != x and new[:2] == x[:2] and [c.isdigit() for c in new] == [c.isdigit() for c in x]
+        assert (rest97(new) == 1) == (rest97(x) == 1) or i == 2
+    numbers = [re.fullmatch(r"so (\d{3})-(\d{2})-(\d{4}) it is", got[100 + i]) for i in range(1, 300)]
+    assert all(0 < int(m[1]) < 666 and int(m[2]) and int(m[3]) for m in numbers)
+    assert len({m[0] for m in numbers}) == 299
+
+
+def test_pii_against_brute_force(spark, sf):
+    import regex
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: r.text or "" for r in pii.replace(docs, "key").collect()}
+    private, other = regex.compile(pii.ANY), {}
+    for i, text in texts.items():
+        at, found = 0, [*private.finditer(text)]
+        gaps = [text[a:b] for a, b in zip([0, *[m.end() for m in found]], [*[m.start() for m in found], len(text)], strict=True)]
+        for gap, m in zip(gaps, [*found, None], strict=True):
+            assert got[i][at : at + len(gap)] == gap  # what is no entity stays
+            at += len(gap)
+            if m:
+                end = min((k for k in range(at + 1, len(got[i]) + 1) if texts[i][m.end() :][:12] == got[i][k : k + 12]), default=len(got[i]))
+                other.setdefault(m[0], set()).add(got[i][at:end])
+                at = end
+        assert at == len(got[i])
+    assert len(other) > 10
+    kinds = spark.createDataFrame([(e, s) for e, ss in other.items() for s in ss], "e string, s string").select("e", "s", pii.kind(F.col("e")).alias("a"), pii.kind(F.col("s")).alias("b"), pii.canonical(F.col("e")).alias("x"), pii.canonical(F.col("s")).alias("y")).collect()
+    assert all(len(ss) == 1 for ss in other.values())  # one entity, one surrogate
+    assert all(r.a == r.b and r.x != r.y for r in kinds)
+    assert len({r.y for r in kinds}) == len({r.x for r in kinds})  # distinct entities, distinct surrogates
+    assert not {r.y for r in kinds} & {r.x for r in kinds}
+
+
+@pytest.mark.parametrize("most", [10_000, -1])
+def test_colliding_surrogates_are_drawn_again(spark, most):
     from pyspark.sql import functions as F
 
     # 900 addresses of one digit group each would collide in 254 octets if the space were that small; force it
@@ -225,11 +277,19 @@ def test_colliding_surrogates_are_drawn_again(spark):
     small = pii._octets
     try:
         pii._octets = lambda text, seed: F.concat(F.lit("9.9."), (F.pmod(pii._byte(seed, F.lit(0)), F.lit(40)) + 1).cast("string"), F.lit("."), (F.pmod(pii._byte(seed, F.lit(1)), F.lit(40)) + 1).cast("string"))
-        got = pii.replace(ips.withColumnRenamed("id", "doc_id"), "key").collect()
+        got = pii.replace(ips.withColumnRenamed("id", "doc_id"), "key", most_exceptions=most).collect()
     finally:
         pii._octets = small
     assert len({r.text for r in got}) == 900  # of 1600 there are; many had to be drawn again
     assert not {r.text for r in got} & {f"10.1.{i // 30}.{i % 30}" for i in range(900)}
+    assert BOTH_WAYS.setdefault("ips", rows_of(got)) == rows_of(got)  # the exceptions sent or joined: the same texts
+
+
+BOTH_WAYS = {}
+
+
+def rows_of(found):
+    return sorted((r.doc_id, r.text) for r in found)
 
 
 def test_rewrite_keeps_all_columns(spark):
