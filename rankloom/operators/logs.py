@@ -33,3 +33,12 @@ def to_json(summed: DataFrame) -> DataFrame:
     """One row: the JSON object of a summary, {key: [mean, var]}, or of totals, {key: mean}."""
     value = F.array("mean", "var") if "var" in summed.columns else F.col("mean")
     return summed.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("key"), value.alias("v")))))).alias("json"))
+
+
+def write_reports(found: DataFrame, folder: str) -> None:
+    """Both JSON files, summary and totals, under the folder; a key that isn't in each file once is refused."""
+    odd = repeated_keys(found).orderBy("key").limit(3).collect()
+    if odd:
+        raise ValueError(f"not once in each file: {', '.join(r.key for r in odd)}")
+    for name, summed in (("summary", summary(found)), ("totals", totals(found))):
+        to_json(summed).select(F.col("json").alias("value")).write.text(f"{folder}/{name}")

@@ -51,11 +51,12 @@ def header(spark: SparkSession, path: str) -> tuple[int, int]:
 
 
 def parse_edges(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """lines(line_no, value) -> (line_no, src, dst) by the first two words, and the lines that have no two integers."""
+    """lines(line_no, value) -> (line_no, src, dst) by the first two words, and the lines that have no two integers of 64 bits."""
     w = lines.select("line_no", "value", _words(F.col("value")).alias("w"))
-    fine = (F.size("w") >= 2) & F.coalesce(F.get("w", F.lit(0)).rlike(INTEGER) & F.get("w", F.lit(1)).rlike(INTEGER), F.lit(False))
-    edges = w.where(fine).select("line_no", F.get("w", F.lit(0)).try_cast("long").alias("src"), F.get("w", F.lit(1)).try_cast("long").alias("dst"))
-    return edges, w.where(~fine & (F.size("w") > 0)).select("line_no", "value", F.lit("not two integers").alias("reason"))
+    number = lambda i: F.when(F.get("w", F.lit(i)).rlike(INTEGER), F.get("w", F.lit(i)).try_cast("long"))
+    w = w.select("line_no", "value", F.size("w").alias("n"), number(0).alias("src"), number(1).alias("dst"))
+    fine = F.col("src").isNotNull() & F.col("dst").isNotNull()
+    return w.where(fine).select("line_no", "src", "dst"), w.where(~fine & (F.col("n") > 0)).select("line_no", "value", F.lit("not two integers").alias("reason"))
 
 
 def read_edge_list(spark: SparkSession, path: str) -> EdgeFile:
