@@ -108,7 +108,12 @@ def sorted_edges(g: Graph) -> DataFrame:
     return dense_number(g.edges, ["dst", "src"], "place")
 
 
-def inconsistent(g: Graph, degrees: DataFrame) -> int:
-    """The number of edges whose tail has out-degree 0, or none, in degrees(id, out_degree)."""
+def inconsistent_edges(g: Graph, degrees: DataFrame) -> DataFrame:
+    """The edges whose tail has out-degree 0, or none, in degrees(id, out_degree)."""
     known = degrees.where("out_degree > 0").select(F.col("id").alias("src"))
-    return g.edges.join(known, "src", "left_anti").count()
+    return g.edges.join(known, "src", "left_anti")
+
+
+def inconsistent(g: Graph, degrees: DataFrame) -> int:
+    """The number of such edges."""
+    return inconsistent_edges(g, degrees).count()

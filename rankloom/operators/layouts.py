@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import bin_of
 from ..storage import keep
 from .graph import Graph, in_degrees, with_out_degrees
-from .ordered import running_sum
+from .ordered import dense_number, running_sum
 
 
 def coo(g: Graph) -> DataFrame:
@@ -54,19 +54,37 @@ def csr_to_coo(rows: DataFrame) -> DataFrame:
 
 
 def ell(g: Graph) -> DataFrame:
-    """(slot, row, col, val, place): all rows padded with zeros to the longest; place = slot * n + row."""
-    return _padded(slots(coo(g)), row_lengths(g))
+    """(slot, row, col, val, place): the stored cells of rows padded to the longest; place = slot * n + row.
+
+    The padding is no rows here: `ell_stats` has its size and `padding` its places by slot. A hub would make
+    it the number of rows times the hub's edges.
+    """
+    return _placed(slots(coo(g)), g.vertices.count())
 
 
 def csr_to_ell(rows: DataFrame) -> DataFrame:
-    return _padded(slots(csr_to_coo(rows)), rows.select("row", F.size("cols").cast("long").alias("len")))
+    """As `ell`; the arrays' places are the slots."""
+    cells = rows.select("row", F.posexplode(F.arrays_zip("cols", "vals")).alias("slot", "e"))
+    return _placed(cells.select(F.col("slot").cast("long").alias("slot"), "row", F.col("e.cols").alias("col"), F.col("e.vals").alias("val")), rows.count())
+
+
+def _placed(entries: DataFrame, n: int) -> DataFrame:
+    return entries.select("slot", "row", "col", "val", (F.col("slot") * n + F.col("row")).alias("place"))
+
 
+def padding(g: Graph) -> DataFrame:
+    """(slot, padded): the rows that have nothing in a slot of the padded layout."""
+    lengths = row_lengths(g).groupBy("len").agg(F.count("*").alias("rows"))  # a row a length
+    stored = lengths.where("len > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1)).alias("slot"), "rows")
+    return stored.groupBy("slot").agg((F.lit(g.vertices.count()) - F.sum("rows")).alias("padded"))
 
-def _padded(entries: DataFrame, lengths: DataFrame) -> DataFrame:
-    facts = lengths.agg(F.count("*").alias("n"), F.coalesce(F.max("len"), F.lit(0)).alias("width")).first()
-    grid = lengths.select("row", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(facts.width - 1).cast("long"))).alias("slot")) if facts.width else lengths.where("false").select("row", F.lit(0).cast("long").alias("slot"))
-    cells = grid.join(entries, ["row", "slot"], "left")
-    return cells.select("slot", "row", F.coalesce("col", F.lit(0)).cast("long").alias("col"), F.coalesce("val", F.lit(0.0)).alias("val"), (F.col("slot") * facts.n + F.col("row")).alias("place"))
+
+def padded(cells: DataFrame, rows: DataFrame) -> DataFrame:
+    """The cells of `ell` with those of the padding, which are 0, for rows(row): a view for small matrices."""
+    f = rows.agg(F.count("*").alias("n"), cells.agg(F.max("slot")).scalar().alias("last")).first()
+    grid = rows.select("row", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-1 if f.last is None else f.last).cast("long"))).alias("slot")) if f.last is not None else cells.select("row", "slot")
+    filled = grid.join(cells.drop("place"), ["row", "slot"], "left").select("slot", "row", F.coalesce("col", F.lit(0)).cast("long").alias("col"), F.coalesce("val", F.lit(0.0)).alias("val"))
+    return _placed(filled, f.n)
 
 
 def ell_stats(g: Graph) -> DataFrame:
@@ -83,14 +101,23 @@ def pieces(g: Graph, count: int) -> DataFrame:
 
 
 def jds(g: Graph, count: int) -> DataFrame:
-    """(piece, local_row, row, slot, col, val): each piece is padded to its own width; pieces without rows are dropped, the others numbered anew."""
+    """(piece, local_row, row, slot, col, val): the stored cells; pieces without rows are dropped, the others numbered anew.
+
+    Each piece is as wide as its longest row (`jds_stats`); the padding is no rows here. Rows within a piece
+    are numbered by ranges of (piece, row), so a piece that holds most rows is in no single task.
+    """
     placed = keep(pieces(g, count))
-    shapes = placed.groupBy("piece").agg(F.max("len").alias("width"))
-    numbered = F.broadcast(shapes.select("piece", "width", (F.dense_rank().over(Window.orderBy("piece")) - 1).cast("long").alias("number")))  # `count` rows at most
-    rows = placed.join(numbered, "piece").withColumn("local_row", (F.row_number().over(Window.partitionBy("number").orderBy("row")) - 1).cast("long"))
-    cells = rows.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width") - 1)))
-    entries = slots(coo(g))
-    return cells.join(entries, ["row", "slot"], "left").select(F.col("number").alias("piece"), "local_row", "row", "slot", F.coalesce("col", F.lit(0)).cast("long").alias("col"), F.coalesce("val", F.lit(0.0)).alias("val"))
+    named = placed.groupBy("piece").agg(F.count("*").alias("_rows")).collect()  # `count` rows at most
+    begin, numbers, at = [], [], 0
+    for i, r in enumerate(sorted(named, key=lambda r: r.piece)):
+        numbers += [F.lit(r.piece), F.lit(i).cast("long")]
+        begin += [F.lit(r.piece), F.lit(at).cast("long")]
+        at += r["_rows"]
+    if not named:
+        return coo(g).where("false").select(F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("local_row"), "row", F.lit(0).cast("long").alias("slot"), "col", "val")
+    rows = dense_number(placed, ["piece", "row"], "_at")
+    rows = rows.select("row", F.element_at(F.create_map(*numbers), F.col("piece")).alias("piece"), (F.col("_at") - F.element_at(F.create_map(*begin), F.col("piece"))).alias("local_row"))
+    return rows.join(slots(coo(g)), "row").select("piece", "local_row", "row", "slot", "col", "val")
 
 
 def jds_stats(g: Graph, count: int) -> DataFrame:
@@ -103,3 +130,9 @@ def spmv(entries: DataFrame, vector: DataFrame) -> DataFrame:
     """entries(row, col, val) times vector(id, x): (row, y) of the rows that have entries. Padding adds nothing."""
     x = vector.select(F.col("id").alias("col"), "x")
     return entries.join(x, "col").groupBy("row").agg(F.sum(F.col("val") * F.col("x")).alias("y"))
+
+
+def spmv_csr(rows: DataFrame, vector: DataFrame) -> DataFrame:
+    """rows(row, cols, vals) times vector(id, x): (row, y) of all rows, 0 for empty ones."""
+    found = spmv(csr_to_coo(rows), vector)
+    return rows.select("row").join(found, "row", "left").select("row", F.coalesce("y", F.lit(0.0)).alias("y"))

@@ -1,13 +1,21 @@
-"""The fixpoint of the ranks, in two ways that give the same vector.
+"""The fixpoint of the ranks: a driver loop over one job for each block of steps.
 
-Distributed: a driver loop over one job a step. The weights are dealt by source and cached (recomputed
-where an executor is lost). A step's job joins the ranks to them, sums by head, writes the new ranks to
-the shared folder, which cuts the lineage, and observes on the way what the next step needs: the mass on
-leaves and the squared change. So nothing is computed twice, and the driver holds three numbers. The ranks
-before are deleted once the next are written.
+A step is x' = base + damping A x, where A has the weights and base is one number that depends on the mass
+that x has on leaves. So after j steps from a block's start p0
 
-Local: a graph of at most `most_local` vertices and distinct edges (a hundred MB at the default) is
-iterated in one task, on arrays, in a single job. The size is counted first; larger graphs never go there.
+    x_j = damping^j p_j + sum over i < j of base_i damping^(j-1-i) q_(j-1-i),    p_j = A^j p0,  q_j = A^j 1
+
+and within a block nothing has to come back to the driver: one job makes p_1 .. p_B by B joins and sums,
+writes them to the shared folder, which cuts the lineage, and observes their mass on leaves on the way. The
+driver gets the block's bases from these few numbers, and x_B is an expression over the columns that the
+next block starts from. The q are made once; as the ranks start uniform, the same job is the first block.
+The block before is deleted once the next is written.
+
+The weights are dealt by source, sorted and cached (recomputed where an executor is lost), so a step
+shuffles only sums by head, combined before they are sent. A source with more than a partition's mean of
+edges is dealt to several by its heads, and its rank is sent to each of them: such sources are fewer than
+the partitions. `backend="local"` runs the same steps on arrays in one task; it is there to compare with,
+and nothing chooses it by itself.
 """
 
 from __future__ import annotations
@@ -20,15 +28,19 @@ import numpy as np
 import pyarrow as pa
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import DAMPING, TOLERANCE
+from ..operators import layouts
 from ..operators.graph import Graph
 from ..storage import delete, keep, shared_dir
-from .steps import advance, uniform, weights
+from .steps import uniform, weights
+
+BLOCK = 5
+PIECES = 8
 
-#: The variants' numbers of steps, tolerances and treatment of leaves.
+#: The variants' numbers of steps, tolerances and treatment of leaves, and the layout that is multiplied.
 PRESETS = {
     "push": {"max_iter": 101, "tol": TOLERANCE},
     "pull": {"max_iter": 201},
@@ -37,10 +49,18 @@ PRESETS = {
     "pull_wide": {"max_iter": 201},
     "pull_expanded": {"max_iter": 201},
     "distributed": {"max_iter": 200},
-    "csr_scalar": {"max_iter": 200, "dangling": "normalize"},
-    "csr_vector": {"max_iter": 200, "dangling": "normalize"},
-    "ell": {"max_iter": 200, "dangling": "normalize"},
-    "jds": {"max_iter": 200, "dangling": "normalize"},
+    "csr_scalar": {"max_iter": 200, "dangling": "normalize", "layout": "csr"},
+    "csr_vector": {"max_iter": 200, "dangling": "normalize", "layout": "csr"},
+    "ell": {"max_iter": 200, "dangling": "normalize", "layout": "ell"},
+    "jds": {"max_iter": 200, "dangling": "normalize", "layout": "jds"},
+}
+
+#: The stored entries (row, col, val) of a layout.
+LAYOUTS = {
+    "coo": layouts.coo,
+    "csr": lambda g: layouts.csr_to_coo(layouts.csr(g)),
+    "ell": layouts.ell,
+    "jds": lambda g: layouts.jds(g, PIECES),
 }
 
 
@@ -58,32 +78,31 @@ class Ranks:
 
 def solve(
     g: Graph, variant: str | None = None, *, max_iter: int | None = None, tol: float | None = None, damping: float = DAMPING,
-    dangling: str = "redistribute", dedupe: bool = False, backend: str = "auto", most_local: int = 2_000_000,
+    dangling: str = "redistribute", dedupe: bool = False, layout: str | None = None, backend: str = "distributed", block: int = BLOCK,
 ) -> Ranks:
     """Ranks after exactly max_iter steps, or once a step changes them by `tol` at most (Euclidean norm).
 
     dangling = "redistribute" spreads the mass on leaves over all vertices in each step; "normalize" lets
     it go and divides by the sum at the end. The vector returned is the newest. An empty graph has no ranks.
-    backend: auto (by size), local or distributed.
+    layout: the matrix whose stored entries are multiplied (coo, csr, ell, jds); without one, repeated edges
+    are first made one weight, which is the same product.
     """
     if variant is not None:
         preset = PRESETS[variant]
         max_iter, tol, dangling = preset["max_iter"] if max_iter is None else max_iter, tol if tol is not None else preset.get("tol"), preset.get("dangling", dangling)
+        layout = layout or preset.get("layout")
     if max_iter is None and tol is None:
         raise ValueError("max_iter or tol must be given: the loop would not end")
-    if dangling not in ("redistribute", "normalize") or backend not in ("auto", "local", "distributed"):
+    if dangling not in ("redistribute", "normalize") or backend not in ("local", "distributed"):
         raise ValueError(f"dangling: {dangling}, backend: {backend}")
     g = g.deduplicated() if dedupe else g
-    parts = int(g.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    w = weights(g).repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
+    w = LAYOUTS[layout](g).select(F.col("col").alias("src"), F.col("row").alias("dst"), F.col("val").alias("w")) if layout else weights(g)
     vertices = g.vertices.select("id").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = vertices.count()
-        if backend == "local" or (backend == "auto" and n <= most_local and w.count() <= most_local):
+        if backend == "local":
             return _local(w, vertices, max_iter, tol, damping, dangling)
-        return _distributed(Graph(g.edges, vertices), w, n, max_iter, tol, damping, dangling)
+        return _distributed(Graph(g.edges, vertices), w, max_iter, tol, damping, dangling, block)
     finally:
-        w.unpersist()
         vertices.unpersist()
 
 
@@ -125,29 +144,83 @@ def _local(w: DataFrame, vertices: DataFrame, max_iter: int | None, tol: float |
     return Ranks(made.where("it is null").select("id", F.col("x").alias("pr")), len(norms), norms)
 
 
-def _distributed(g: Graph, w: DataFrame, n: int, max_iter: int | None, tol: float | None, damping: float, dangling: str) -> Ranks:
-    spark = g.edges.sparkSession
+class _Matrix:
+    """The weights, dealt by source, sorted and cached."""
+
+    def __init__(self, w: DataFrame) -> None:
+        parts = int(w.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = w.repartition(parts, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
+        own = dealt.groupBy("src").agg(F.count("*").alias("n"))
+        facts = own.agg(F.sum("n").alias("m"), F.max("n").alias("most")).first()
+        mean = max(1024, -(-(facts.m or 0) // parts))
+        self.cached, self.hubs, self.key = [dealt], None, ["src"]
+        if (facts.most or 0) > mean:  # fewer than `parts` sources
+            self.hubs = F.broadcast(keep(own.where(F.col("n") > mean).select("src", F.ceil(F.col("n") / mean).cast("int").alias("_salts"))))
+            salted = dealt.join(self.hubs, "src", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+            self.key = ["src", "_salt"]
+            self.cached.append(salted.repartition(parts, *self.key).sortWithinPartitions(*self.key).persist(StorageLevel.MEMORY_AND_DISK))
+
+    def times(self, x: DataFrame) -> DataFrame:
+        """(id, p) -> (id, p) of the rows that have entries."""
+        x = x.select(F.col("id").alias("src"), "p")
+        if self.hubs is not None:
+            x = x.join(self.hubs, "src", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
+        return self.cached[-1].join(x, self.key).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("p")).alias("p"))
+
+    def free(self) -> None:
+        for df in self.cached:
+            df.unpersist()
+
+
+def _distributed(g: Graph, w: DataFrame, max_iter: int | None, tol: float | None, damping: float, dangling: str, block: int) -> Ranks:
+    spark, matrix = g.edges.sparkSession, _Matrix(w)
     folder = shared_dir(spark, "ranks")
-    schema = "id long, leaf boolean, prev double, pr double"
-
-    def written(df: DataFrame, it: int) -> tuple[DataFrame, dict]:
-        seen = Observation()
-        leak, change = F.sum(F.when(F.col("leaf"), F.col("pr"))), F.sum((F.col("pr") - F.col("prev")) ** 2)
-        df = df.observe(seen, *[F.coalesce(x, F.lit(0.0)).alias(k) for k, x in (("leak", leak), ("change", change), ("total", F.sum("pr")))])
-        df.write.parquet(f"{folder}/{it}")
-        return spark.read.schema(schema).parquet(f"{folder}/{it}"), seen.get
+    left = lambda: block if max_iter is None else min(block, max_iter - len(norms))
+
+    def written(base: DataFrame, name: str, start: Column, steps: int, at: int) -> tuple[DataFrame, dict[str, float]]:
+        """base with <name>0, the start, and <name>1 .. of the steps; of each its mass on leaves (l) and on all (t)."""
+        state = base.withColumn(f"{name}0", start)
+        x = state.select("id", F.col(f"{name}0").alias("p"))
+        for j in range(1, steps + 1):
+            x = matrix.times(x)
+            state = state.join(x.withColumnRenamed("p", f"{name}{j}"), "id", "left").withColumn(f"{name}{j}", F.coalesce(f"{name}{j}", F.lit(0.0)))
+        seen, total = Observation(), lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+        sums = [total(F.when(F.col("leaf"), F.col(f"{name}{j}"))).alias(f"l{j}") for j in range(steps + 1)]
+        state = state.observe(seen, F.count("*").alias("n"), *sums, *[total(f"{name}{j}").alias(f"t{j}") for j in range(steps + 1)])
+        state.write.parquet(f"{folder}/{at}")
+        return spark.read.schema(state.schema).parquet(f"{folder}/{at}"), seen.get
 
-    state, facts = written(uniform(g, n).select("id", "leaf", F.lit(0.0).alias("prev"), "pr"), 0)
     norms: list[float] = []
-    while max_iter is None or len(norms) < max_iter:
-        leak = facts["leak"] if dangling == "redistribute" else 0.0
-        base = (leak + (1 - leak) * (1 - damping)) / max(n, 1)
-        state, facts = written(advance(w, state.select("id", "leaf", "pr"), F.lit(base), damping), len(norms) + 1)
-        delete(spark, f"{folder}/{len(norms)}")
-        norms.append(math.sqrt(facts["change"]))
-        if tol is not None and norms[-1] <= tol:
-            break
-    pr = F.col("pr") / F.lit(facts["total"]) if dangling == "normalize" and facts["total"] else F.col("pr")
+    try:
+        n_q = left()
+        state, q = written(uniform(g, 1).select("id", "leaf"), "q", F.lit(1.0), n_q, 0)
+        n, at = max(q["n"], 1), 0
+        ones = [F.col(f"q{j}") for j in range(n_q + 1)]
+        p, column = {k: v / n for k, v in q.items()}, [c / n for c in ones]  # the ranks start at 1 / n
+        steps, vector, total = n_q, column[0], p["t0"]
+        while steps:
+            base: list[float] = []
+            # of the j-th vector: the parts of q, latest first, and of p
+            parts = lambda j: [base[i] * damping ** (j - 1 - i) for i in range(j)]  # noqa: E731, B023
+            whole = lambda j, kind: sum(c * q[f"{kind}{j - 1 - i}"] for i, c in enumerate(parts(j))) + damping**j * p[f"{kind}{j}"]  # noqa: E731, B023
+            for j in range(steps):
+                leak = whole(j, "l") if dangling == "redistribute" else 0.0
+                base.append((leak + (1 - leak) * (1 - damping)) / n)
+            x = [sum((F.lit(c) * ones[j - 1 - i] for i, c in enumerate(parts(j))), F.lit(damping**j) * column[j]) for j in range(steps + 1)]
+            changes = state.agg(*[F.coalesce(F.sum((x[j + 1] - x[j]) ** 2), F.lit(0.0)).alias(f"c{j}") for j in range(steps)]).first()  # a row
+            changes = [math.sqrt(c) for c in changes]
+            ended = next((j for j, c in enumerate(changes) if tol is not None and c <= tol), None)
+            used = steps if ended is None else ended + 1
+            norms += changes[:used]
+            vector, total = x[used], whole(used, "t")
+            steps = left() if ended is None else 0
+            if steps:
+                state, p = written(state.select("id", "leaf", *[f"q{j}" for j in range(n_q + 1)], vector.alias("_x")), "p", F.col("_x"), steps, at + 1)
+                delete(spark, f"{folder}/{at}")
+                at, column = at + 1, [F.col(f"p{j}") for j in range(steps + 1)]
+    finally:
+        matrix.free()
+    pr = vector / F.lit(total) if dangling == "normalize" and total else vector
     return Ranks(state.select("id", pr.alias("pr")), len(norms), norms)
 
 

@@ -6,6 +6,7 @@ import pytest
 from conftest import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from rankloom.functions import bin_of
 from rankloom.operators import compare, graph, layouts, logs
@@ -66,13 +67,19 @@ def test_layouts_hold_the_same_entries(spark, name):
     assert rows(layouts.csr_to_coo(layouts.csr(g)), "row", "col", "val") == want
     assert rows(layouts.ell(g).where("val > 0"), "row", "col", "val") == want
     assert rows(layouts.csr_to_ell(layouts.csr(g))) == rows(layouts.ell(g))
+    stats = layouts.ell_stats(g).first()
+    full = layouts.padded(layouts.ell(g), g.vertices.select(F.col("id").alias("row")))
+    assert full.count() == (stats.num_elements or 0)
+    assert rows(full.where("val > 0"), "row", "col", "val") == want
+    assert sum(r.padded for r in layouts.padding(g).collect()) == (stats.num_elements or 0) - len(want)
     for pieces in (1, 3, 8):
         cells = layouts.jds(g, pieces)
         assert rows(cells.where("val > 0"), "row", "col", "val") == want
         stats = layouts.jds_stats(g, pieces).collect()
         assert sum(r.nnz for r in stats) == len(want)
         assert sorted(r.piece for r in stats) == list(range(len(stats)))
-        assert cells.count() == sum(r.rows * r.width for r in stats)
+        assert cells.count() == len(want) <= sum(r.rows * r.width for r in stats)
+        assert all(r.slot < {x.piece: x.width for x in stats}[r.piece] for r in cells.collect())
 
 
 def test_empty_graph(spark):

@@ -29,9 +29,9 @@ def test_known_vectors(spark, name):
     one, two, limit, n_steps = EXPECTED[name]
     assert vector(solve(g, max_iter=1)) == pytest.approx(one, abs=1e-9)
     assert vector(solve(g, max_iter=2)) == pytest.approx(two, abs=1e-9)
-    assert vector(solve(g, max_iter=300)) == pytest.approx(limit, abs=1e-9)
-    assert vector(solve(g, max_iter=300, dangling="normalize")) == pytest.approx(limit, abs=1e-9)
-    assert solve(g, tol=2e-7).iterations == n_steps
+    assert vector(solve(g, max_iter=300, backend="local")) == pytest.approx(limit, abs=1e-9)
+    assert vector(solve(g, max_iter=300, dangling="normalize", backend="local")) == pytest.approx(limit, abs=1e-9)
+    assert solve(g, tol=2e-7, backend="local").iterations == n_steps
     assert [r.pr for r in steps.one_step(g).orderBy("id").collect()] == pytest.approx(one, abs=1e-9)
 
 
@@ -43,7 +43,25 @@ def test_backends_agree(spark, name, options):
     assert_same(a.ranks, b.ranks, 1e-12)
     assert a.norms == pytest.approx(b.norms, abs=1e-12)
     assert rows(a.trace(), "it") == [(1,), (2,), (3,)]
-    assert solve(g, max_iter=2, most_local=1, **options).iterations == 2  # too large for one task
+    for block in (1, 2, 7):
+        c = solve(g, max_iter=3, block=block, **options)
+        assert_same(a.ranks, c.ranks, 1e-12)
+        assert a.norms == pytest.approx(c.norms, abs=1e-12)
+
+
+@pytest.mark.parametrize("layout", ["coo", "csr", "ell", "jds"])
+def test_layouts_give_the_same_ranks(spark, layout):
+    for name in ("T3", "T5"):
+        g = make(spark, *GRAPHS[name])
+        assert_same(solve(g, max_iter=4).ranks, solve(g, max_iter=4, layout=layout).ranks, 1e-12)
+
+
+def test_a_hub_is_dealt_to_several(spark):
+    edges = [(0, i) for i in range(1, 3001)] + [(i, 0) for i in range(1, 2000)] + [(i, i + 1) for i in range(1, 50)]
+    g = make(spark, 3001, edges)
+    a, b = solve(g, max_iter=4, backend="local"), solve(g, max_iter=4)
+    assert_same(a.ranks, b.ranks, 1e-12)
+    assert a.norms == pytest.approx(b.norms, abs=1e-12)
 
 
 def test_mass_is_kept_and_all_get_the_base(spark):
@@ -55,16 +73,24 @@ def test_mass_is_kept_and_all_get_the_base(spark):
 
 def test_duplicates_count_unless_told(spark):
     g = make(spark, *GRAPHS["T3"])
-    assert vector(solve(g, max_iter=300, dedupe=True)) == pytest.approx([0.486486486, 0.256756757, 0.256756757], abs=1e-9)
+    assert vector(solve(g, max_iter=300, dedupe=True, backend="local")) == pytest.approx([0.486486486, 0.256756757, 0.256756757], abs=1e-9)
 
 
 def test_presets_stop_where_they_should(spark):
     g = make(spark, *GRAPHS["T2"])
     for name, p in PRESETS.items():
-        got = solve(g, name).iterations
+        got = solve(g, name, backend="local").iterations
         assert got == (14 if "tol" in p else p["max_iter"])
 
 
+def test_distributed_stops_where_local_does(spark):
+    g = make(spark, *GRAPHS["T2"])
+    a, b = solve(g, "push", backend="local"), solve(g, "push")
+    assert a.iterations == b.iterations == 14
+    assert a.norms == pytest.approx(b.norms, abs=1e-12)
+    assert_same(a.ranks, b.ranks, 1e-12)
+
+
 def test_options_are_checked(spark):
     g = make(spark, *GRAPHS["T1"])
     with pytest.raises(ValueError, match="max_iter or tol"):
