@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests on one machine), a temporary folder is set once."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder is set once, on one machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isEmpty():  # a setting made after the context began isn't in force yet
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="rankloom-"))
     if named:
         return named
