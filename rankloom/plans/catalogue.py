@@ -349,6 +349,7 @@ CATALOGUE: dict[str, tuple[Query, str]] = {
     "pull_step": (_step_query, on("mixed", "select x0.id, round((l + (1 - l) * (1 - 0.85)) / n + 0.85 * coalesce(s, 0), 9) pr from x0 left join inflow on inflow.id = x0.id, lk, nn")),
     "push_step": (_push_query, on("mixed", "select x0.id, round((l + (1 - l) * (1 - 0.85)) / n + 0.85 * coalesce(s, 0), 9) pr from x0 left join inflow on inflow.id = x0.id, lk, nn")),
     **{f"rank_{name}_k20": (ranks(name), on(name, f"select id, round(pr, 9) pr from r where it = {STEPS}", loop(STEPS))) for name in GRAPHS},
+    **{f"rank_{name}_k20_local": (ranks(name, backend="local"), on(name, f"select id, round(pr, 9) pr from r where it = {STEPS}", loop(STEPS))) for name in ("custsupp", "events")},
     "rank_normalized_k20": (ranks("mixed", dangling="normalize"), on("mixed", f"select id, round(pr / sum(pr) over (), 9) pr from r where it = {STEPS}", loop(STEPS, leak=False))),
     "rank_converged": (ranks("mixed", max_iter=None, tol=TOLERANCE), on("mixed", f"select id, round(pr, 9) pr from r where it = (select min(it) from tr where nrm <= {TOLERANCE})", loop(80) + ",\n" + NORMS)),
     "convergence_trace": (_trace, on("mixed", "select it, round(nrm, 9) nrm from tr", loop(STEPS) + ",\n" + NORMS)),

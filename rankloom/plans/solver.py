@@ -5,8 +5,8 @@ that x has on leaves. So after j steps from a block's start p0
 
     x_j = damping^j p_j + sum over i < j of base_i damping^(j-1-i) q_(j-1-i),    p_j = A^j p0,  q_j = A^j 1
 
-and within a block nothing has to come back to the driver: one job makes p_1 .. p_B by B joins and sums,
-writes them to the shared folder, which cuts the lineage, and observes their mass on leaves on the way. The
+and within a block nothing has to come back to the driver: one job makes p_1 .. p_B by B joins and sums (a row
+from each vertex to itself carries what is there already through them), writes them to the shared folder, which cuts the lineage, and observes their mass on leaves on the way. The
 driver gets the block's bases from these few numbers, and x_B is an expression over the columns that the
 next block starts from. The q are made once; as the ranks start uniform, the same job is the first block.
 The block before is deleted once the next is written.
@@ -145,10 +145,11 @@ def _local(w: DataFrame, vertices: DataFrame, max_iter: int | None, tol: float |
 
 
 class _Matrix:
-    """The weights, dealt by source, sorted and cached."""
+    """The weights, dealt by source, sorted and cached, with a row of no weight from each vertex to itself."""
 
-    def __init__(self, w: DataFrame) -> None:
+    def __init__(self, w: DataFrame, vertices: DataFrame) -> None:
         parts = int(w.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        w = w.unionByName(vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(None).cast("double").alias("w")))
         dealt = w.repartition(parts, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
         own = dealt.groupBy("src").agg(F.count("*").alias("n"))
         facts = own.agg(F.sum("n").alias("m"), F.max("n").alias("most")).first()
@@ -156,16 +157,19 @@ class _Matrix:
         self.cached, self.hubs, self.key = [dealt], None, ["src"]
         if (facts.most or 0) > mean:  # fewer than `parts` sources
             self.hubs = F.broadcast(keep(own.where(F.col("n") > mean).select("src", F.ceil(F.col("n") / mean).cast("int").alias("_salts"))))
-            salted = dealt.join(self.hubs, "src", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+            salt = F.when(F.col("w").isNotNull(), F.pmod(F.xxhash64("dst"), F.col("_salts")).cast("int"))
+            salted = dealt.join(self.hubs, "src", "left").withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_salts")
             self.key = ["src", "_salt"]
             self.cached.append(salted.repartition(parts, *self.key).sortWithinPartitions(*self.key).persist(StorageLevel.MEMORY_AND_DISK))
 
-    def times(self, x: DataFrame) -> DataFrame:
-        """(id, p) -> (id, p) of the rows that have entries."""
-        x = x.select(F.col("id").alias("src"), "p")
+    def times(self, x: DataFrame, name: str, j: int) -> DataFrame:
+        """(id, <name>0 .. <name>j) with <name>(j+1), the product with the last one; a vertex's own row carries the others on."""
+        x = x.withColumnRenamed("id", "src")
         if self.hubs is not None:
             x = x.join(self.hubs, "src", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
-        return self.cached[-1].join(x, self.key).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("p")).alias("p"))
+        carried = [F.max(F.when(F.col("w").isNull(), F.col(f"{name}{i}"))).alias(f"{name}{i}") for i in range(j + 1)]
+        made = F.coalesce(F.sum(F.col("w") * F.col(f"{name}{j}")), F.lit(0.0)).alias(f"{name}{j + 1}")
+        return self.cached[-1].join(x, self.key).groupBy(F.col("dst").alias("id")).agg(*carried, made)
 
     def free(self) -> None:
         for df in self.cached:
@@ -173,17 +177,16 @@ class _Matrix:
 
 
 def _distributed(g: Graph, w: DataFrame, max_iter: int | None, tol: float | None, damping: float, dangling: str, block: int) -> Ranks:
-    spark, matrix = g.edges.sparkSession, _Matrix(w)
+    spark, matrix = g.edges.sparkSession, _Matrix(w, g.vertices)
     folder = shared_dir(spark, "ranks")
     left = lambda: block if max_iter is None else min(block, max_iter - len(norms))
 
     def written(base: DataFrame, name: str, start: Column, steps: int, at: int) -> tuple[DataFrame, dict[str, float]]:
         """base with <name>0, the start, and <name>1 .. of the steps; of each its mass on leaves (l) and on all (t)."""
-        state = base.withColumn(f"{name}0", start)
-        x = state.select("id", F.col(f"{name}0").alias("p"))
-        for j in range(1, steps + 1):
-            x = matrix.times(x)
-            state = state.join(x.withColumnRenamed("p", f"{name}{j}"), "id", "left").withColumn(f"{name}{j}", F.coalesce(f"{name}{j}", F.lit(0.0)))
+        x = base.select("id", start.alias(f"{name}0"))
+        for j in range(steps):
+            x = matrix.times(x, name, j)
+        state = base.drop("_x").join(x, "id")
         seen, total = Observation(), lambda c: F.coalesce(F.sum(c), F.lit(0.0))
         sums = [total(F.when(F.col("leaf"), F.col(f"{name}{j}"))).alias(f"l{j}") for j in range(steps + 1)]
         state = state.observe(seen, F.count("*").alias("n"), *sums, *[total(f"{name}{j}").alias(f"t{j}") for j in range(steps + 1)])
