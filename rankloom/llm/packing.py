@@ -8,8 +8,8 @@ the sequences' free room finds that one in log time: each inner node has the mos
 At scale: the texts never move; what is shuffled is a row of numbers for each piece (and its ids where
 `keep_ids` asks for them; they are never copied or sorted). Rows of one doc_id, or without one, and copies
 of a row are dealt to different groups, so groups are alike in size whatever a third of the rows share, and
-one group is one task's work. Tokenizing remembers the ids of words it has met, up to `MOST_WORDS`, then
-starts anew.
+one group is one task's work. Tokenizing remembers the ids of words it has met in two generations of
+`MOST_WORDS`, so that frequent words stay.
 
 Ties: pieces of one length go by doc_id, start and the ids' CRC; pieces equal in these are alike. Defined
 results: a null or empty text is the end id alone; a null doc_id is kept; a text of any length is packed
@@ -19,6 +19,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-MOST_WORDS = 250_000
+MOST_WORDS = 200_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -45,17 +46,30 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.known: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
         # words of these letters and a stop or comma are one lower-cased token string, and the sign another
         self.plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
         visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves
         other = [b for b in range(256) if b not in set(visible)]
         self.signs = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(other)}
-        self.fast = self._agrees()
+        self.fast, self.by_words = self._agrees(), self.parts()
 
     def _agrees(self) -> bool:
-        """Whether the short way gives the whole tokenizer's ids; else only the whole one is used."""
+        """Whether the file's definitions are those that the short way stands for, and it gives the whole tokenizer's ids."""
+        d = json.loads(self.whole.to_str())
+        steps = [x["type"] for x in (d["normalizer"] or {}).get("normalizers", [])]
+        cuts = [x["type"] for x in (d["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        spaces = steps == ["NFC", "Replace", "Lowercase"] and d["normalizer"]["normalizers"][1]["pattern"] == {"Regex": r"\s+"}
+        if not spaces or cuts != ["Split", "ByteLevel"] or d["model"]["type"] != "BPE":
+            return False
         return all(self._short(w) == self._long(w) for w in ("Hello", "Straße,", "élève.", "ÀÉ", "The", "x"))
 
+    def parts(self) -> bool:
+        """Whether spaces and newlines part a text into words whose ids follow each other: they are removed by the file's own cut."""
+        d = json.loads(self.whole.to_str())
+        cuts = (d["pre_tokenizer"] or {}).get("pretokenizers", [])
+        return bool(cuts) and cuts[0]["type"] == "Split" and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert") is True and r"[^\s" in cuts[0]["pattern"].get("Regex", "") and self._long("A b\n\nc  d.\n") == self._long("A") + self._long("b") + self._long("c") + self._long("d.")
+
     def _long(self, word: str) -> bytes:
         ids = self.whole.encode(word, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -72,17 +86,20 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """The ids, little-endian and 4 bytes each."""
+        if not self.by_words:
+            return self._long(text)
         words = text.replace("\n", " ").split(" ")
         known, find = self.known, self._short if self.fast else self._long
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            if len(known) > MOST_WORDS:
-                known.clear()
-                known[""] = b""
+            if len(known) > MOST_WORDS:  # the words met since then stay; of the others those that come again
+                self.before, self.known = known, {"": b""}
+                known = self.known
+            before = self.before
             for w in set(words):
                 if w not in known:
-                    known[w] = find(w)
+                    known[w] = before[w] if w in before else find(w)
             return b"".join([known[w] for w in words])
 
 

@@ -226,6 +226,24 @@ def test_short_way_gives_the_tokenizers_ids():
         assert list(np.frombuffer(t.encode(x), "<u4")) == ids, x
 
 
+def test_words_met_are_forgotten_by_generations(monkeypatch):
+    monkeypatch.setattr(packing, "MOST_WORDS", 50)
+    t, r = packing.WordTokenizer(vocabulary()), random.Random(3)
+    for _ in range(60):
+        x = " ".join(r.choice(["the", "of", f"w{r.randrange(400)}x", "Élan,"]) for _ in range(30))
+        assert list(np.frombuffer(t.encode(x), "<u4")) == t.whole.encode(x, add_special_tokens=False).ids
+        assert len(t.known) + len(t.before) < 200
+
+
+def test_other_tokenizers_are_used_whole():
+    import public_tokenizers
+
+    t = packing.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not t.fast
+    for x in ("Hello there,  world\n\n x", " a", ""):
+        assert list(np.frombuffer(t.encode(x), "<u4")) == t.whole.encode(x, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("length", [16, 4096])
 def test_pieces_and_sequences(spark, length):
     docs = spark.createDataFrame(TEXTS, DOCS).withColumn("start", F.lit(1))
