@@ -176,10 +176,10 @@ def _reject_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _variants(spark: SparkSession, d: str, rows: bool) -> DataFrame:
-    """The push variant against the pulled and the distributed one, each at its own number of steps; 1e-6 is allowed."""
+    """The push variant, distributed and stopped by its tolerance, against two others at all of their steps in one task; 1e-6 is allowed."""
     g = mixed(spark, d)
     a = solver.solve(g, "push").ranks
-    found = [compare.differing(a, solver.solve(g, "pull", backend="local").ranks), compare.differing(a, solver.solve(g, "distributed").ranks)]
+    found = [compare.differing(a, solver.solve(g, name, backend="local").ranks) for name in ("pull", "distributed")]
     found = found[0].unionByName(found[1])
     return found if rows else found.agg(F.count("*").alias("n"))
 
