@@ -1,21 +1,28 @@
-"""N-gram Jaccard join: a MinHash LSH forest, at one fixed depth (banding), finds candidates, exact similarities decide.
+"""N-gram Jaccard join: a MinHash LSH forest finds candidates, exact similarities decide.
 
 A document is its set of shingles of `words` words (all its words are one shingle where it has fewer).
-Documents of equal sets are copies: one of them stands for all. Each tree of the forest keys them by a
-row of min-hashes; two documents meet in a tree if a prefix of their rows agrees, which is a node of the
-tree's trie. Prefixes begin at `most_depth` and are shortened until a pair at the threshold meets in some
-tree with the target recall (`forest_depth`); rows are kept to that depth, and the nodes are what is
-sorted and shuffled, as one hash each.
-
-Within a node all members are tied to one of them, so a node of n members has n - 1 ties, never n^2
-pairs. What is tied together is a cluster of candidates. Clusters are verified exactly: a cluster's sets
+Documents of equal sets are copies: one of them stands for all. Each tree of the forest labels it with a
+row of min-hashes, 16 bits each. The sorted labels of a tree are a trie, a prefix of a label is a node of
+it, and two documents meet in a tree at the nodes that they share.
+
+Prefixes are shortened for each document by itself, in all trees alike, until the target recall
+(`shortened`). It begins at the longest prefix at which a pair right at the threshold meets with
+`least_recall` (0.99: 6 of 8), since nothing that it has met can tell of one that it hasn't. It stops where
+the partners it has met, it has met in so many trees that the share of all such partners found is the
+recall: one met in c of l trees is missed by chance 1 - p = (1 - c/l)^l, so n partners met stand for the
+sum of their 1/p. It ends at the latest where a pair at the threshold meets with the recall (`forest_depth`:
+4), and there too if it has met nobody.
+
+Within a node that some document stopped at all members are tied to one of them, so a node of n members has
+n - 1 ties, never n^2 pairs. What is tied together is a cluster of candidates. Clusters are verified exactly: a cluster's sets
 are laid out once, and one pass for each document counts what it shares with all others, so links are
 also found that no tree showed. Large clusters are verified by pairs of blocks, each block bounded in
 documents and shingles; a task's output is a row for each document (its links, and one to which it is
 joined), never its pairs. Classes are the connected components of the links, found by rounds of minima
 over shuffled tables that shrink, with each round written to the shared folder.
 
-At scale: the texts are read in place to make the sketches (some 200 bytes a document). Only those of
+At scale: the texts are read in place to make the sketches (some 250 bytes a document). Only labels with
+company at the shortest prefix are sorted, by ranges that split a node of any size. Only texts of
 clustered documents are shuffled, once a block pair; the others are kept back by a Bloom filter of the
 wanted ids, where that is small. Work grows as the square of a cluster only in the block pairs, spread
 over tasks: counting every link of a group needs it.
@@ -36,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -83,7 +90,7 @@ def set_key(s: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, words: int, trees: int, depth: int, seed: int) -> DataFrame:
-    """(doc_id, key, n, nodes): the set's key and size, and its node in each tree."""
+    """(doc_id, key, n, labels): the set's key and size, and its labels laid end to end: a tree's number and `depth` min-hashes, two bytes each."""
     random = np.random.default_rng(seed)
     factors = random.integers(1, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shifts = random.integers(0, 1 << 63, trees * depth, dtype=np.uint64)
@@ -96,22 +103,50 @@ def sketches(docs: DataFrame, words: int, trees: int, depth: int, seed: int) ->
                 n = np.array([len(s) for s in sets])
                 keys += [set_key(s) for s in sets]
                 sizes.append(n)
-                nodes = np.zeros((j - i, trees), np.uint64)
+                labels = np.zeros((j - i, trees, 1 + depth), ">u2")
+                labels[:, :, 0] = np.arange(trees)
                 some = np.flatnonzero(n)
                 if len(some):
                     flat, begin = np.concatenate(sets), (np.cumsum(n) - n)[some]
-                    for t in range(trees):
-                        node = np.full(len(some), t + 1, np.uint64)
-                        for k in range(t * depth, (t + 1) * depth):
-                            node = mix(node * _STEP + np.minimum.reduceat(flat * factors[k] + shifts[k], begin))
-                        nodes[some, t] = node
-                rows.append(nodes)
-            flat = pa.array(np.concatenate(rows).reshape(-1).view(np.int64)) if rows else pa.array([], pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * trees), flat)
+                    for k in range(trees * depth):
+                        least = np.minimum.reduceat(flat * factors[k] + shifts[k], begin)
+                        labels[some, k // depth, 1 + k % depth] = mix(least) >> np.uint64(48)
+                rows += [label.tobytes() for label in labels]
             n = np.concatenate(sizes) if sizes else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), lists], names=["doc_id", "key", "n", "nodes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "key", "n", "labels"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, key binary, n long, nodes array<long>")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, key binary, n long, labels binary")
+
+
+def _prefix(label: Column, depth: Column) -> Column:
+    """The node at that depth; its bytes tell its tree and its depth."""
+    return F.substring(label, F.lit(1), 2 + 2 * depth)
+
+
+def tries(sets: DataFrame, trees: int, longest: int, shortest: int) -> DataFrame:
+    """sets(key, labels) -> (key, node, pivot, other) of all nodes of two members or more, from the longest prefix to the shortest.
+
+    `pivot` is the node's least key, `other` a member that isn't the document itself.
+    """
+    width = 2 + 2 * longest
+    label = F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring(F.col("labels"), t * width + 1, F.lit(width))))
+    labels = sets.select("key", label.alias("label")).withColumn("node", _prefix(F.col("label"), F.lit(shortest)))
+    company = labels.groupBy("node").count().where("count > 1").select("node")
+    # sorted by ranges: a node's members lie side by side, so that each task counts them before anything is sent
+    trie = keep(labels.join(company, "node", "left_semi").select("label", "key").repartitionByRange("label", "key").sortWithinPartitions("label", "key"))
+    depths = F.sequence(F.lit(shortest), F.lit(longest))
+    members = trie.select("key", F.explode(F.transform(depths, lambda d: _prefix(F.col("label"), d))).alias("node"))
+    nodes = members.groupBy("node").agg(F.min("key").alias("pivot"), F.max("key").alias("last")).where("pivot != last")
+    return members.join(nodes, "node").select("key", "node", "pivot", F.when(F.col("key") == F.col("pivot"), F.col("last")).otherwise(F.col("pivot")).alias("other"))
+
+
+def shortened(met: DataFrame, trees: int, shortest: int, recall: float) -> DataFrame:
+    """The nodes of tries(...) at which some document stops shortening its prefixes."""
+    seen = met.groupBy("key", F.length("node").alias("size"), "other").agg((F.count("*") / trees).alias("share"))
+    found = 1 - F.pow(1 - F.col("share"), F.lit(float(trees)))
+    told = seen.groupBy("key", "size").agg((F.count("*") / F.sum(1 / found)).alias("found")).where(F.col("found") >= recall)
+    stops = told.groupBy("key").agg(F.max("size").alias("stop"))
+    return met.join(stops, "key", "left").where(F.length("node") == F.coalesce("stop", F.lit(2 + 2 * shortest))).select("node").distinct()
 
 
 def with_set_key(docs: DataFrame, words: int) -> DataFrame:
@@ -219,18 +254,20 @@ def _verify(table: pa.Table, words: int, threshold: float) -> pa.Table:
     return pa.table({"key": pa.array(keys, pa.binary()), "joined": pa.array(joined, pa.binary()), "links": pa.array(links, pa.int64())})
 
 
-def join_similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, trees: int = 16, most_depth: int = 8, recall: float = 0.999, seed: int = 7, heads: bool = False) -> DataFrame:
+def join_similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, trees: int = 16, most_depth: int = 8, recall: float = 0.9995, least_recall: float = 0.99, seed: int = 7, heads: bool = False) -> DataFrame:
     """docs(doc_id, text) -> doc_id, class_id, n_copies (equal sets, itself too), n_links (other rows that are similar).
 
+    There can be 65,536 `trees` at most.
+
     `heads` adds `head`: in a class without any id the key of the set that names the class, for rows of that set.
     """
-    depth = forest_depth(threshold, trees, most_depth, recall)
-    sketched = keep(sketches(docs, words, trees, depth, seed))
-    distinct = keep(sketched.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("nodes").alias("nodes")))
-    members = distinct.where("n > 0").select("key", F.explode("nodes").alias("node"))
-    pivots = members.groupBy("node").agg(F.min("key").alias("pivot"), F.count("*").alias("m")).where("m > 1").select("node", "pivot")
-    # a document's pivots, one a tree at most, are tied to their least one, and the document to that alone
-    tied = members.join(pivots, "node").where("key != pivot").groupBy("key").agg(F.collect_set("pivot").alias("p"))
+    shortest = forest_depth(threshold, trees, most_depth, recall)
+    longest = max(shortest, forest_depth(threshold, trees, most_depth, least_recall))
+    sketched = keep(sketches(docs, words, trees, longest, seed))
+    distinct = keep(sketched.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("labels").alias("labels")))
+    met = keep(tries(distinct.where("n > 0").select("key", "labels"), trees, longest, shortest))
+    # a document's pivots, one a node at most, are tied to their least one, and the document to that alone
+    tied = met.join(shortened(met, trees, shortest, recall), "node", "left_semi").where("key != pivot").groupBy("key").agg(F.collect_set("pivot").alias("p"))
     ties = tied.select(F.explode(F.transform(F.concat(F.array("key"), "p"), lambda x: F.struct(x.alias("a"), F.array_min("p").alias("b")))).alias("e")).select("e.*")
     clusters = connected(ties).select(F.col("v").alias("key"), F.col("component").alias("cluster"))
 

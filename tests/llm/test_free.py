@@ -208,6 +208,48 @@ def test_depth_gives_the_recall():
         assert k == 8 or 1 - (1 - 0.8 ** (k + 1)) ** 16 < recall
 
 
+def planted(rate, n=150):
+    """Pairs of texts of 150 words, of which the second has some words changed."""
+    r = random.Random(rate)
+    docs = []
+    for i in range(n):
+        w = [f"p{i}_{k}" for k in range(150)]
+        docs.append((100 * i, " ".join(w)))
+        for _ in range(rate):
+            w[r.randrange(150)] = "x"
+        docs.append((100 * i + 1, " ".join(w)))
+    return docs
+
+
+@pytest.mark.parametrize("rate", [1, 3])
+def test_recall_of_the_forest(spark, rate):
+    docs = planted(rate)  # three words changed leave a similarity of 0.81 or more
+    want = {d: n for d, _, n in brute_classes(docs) if d % 100 == 0}
+    got = {r.doc_id: r.n_links for r in jaccard.join_similar(spark.createDataFrame(docs, DOCS)).collect()}
+    assert sum(want.values()) > 50
+    assert all(got[d] <= n for d, n in want.items())  # verified: none too many
+    assert sum(got[d] for d in want) >= 0.99 * sum(want.values())
+
+
+def test_prefixes_are_shortened_for_each_document(spark):
+    close, apart = ([f"{c}{i}" for i in range(400)] for c in "ab")
+    docs = [(1, " ".join(close)), (2, " ".join([*close, "end"]))]  # of similarity 0.997
+    docs += [(3, " ".join(apart)), (4, " ".join([*apart[:-40], *[f"z{i}" for i in range(40)]]))]  # and of 0.81
+    sets = jaccard.sketches(spark.createDataFrame(docs, DOCS), 5, 16, 6, 7).cache()
+    met = jaccard.tries(sets.select("key", "labels"), 16, 6, 4).cache()
+    name = {r.key: r.doc_id for r in sets.collect()}
+    stop = {r.node for r in jaccard.shortened(met, 16, 4, 0.9995).collect()}
+    at = collections.defaultdict(set)
+    for r in met.collect():
+        assert {name[r.key], name[r.other]} in ({1, 2}, {3, 4})
+        assert r.pivot == min(r.key, r.other)
+        if r.node in stop:
+            at[name[r.key]].add((len(r.node) - 2) // 2)
+    assert at[1] == at[2] == {6}  # met in nearly all trees
+    assert at[3] == at[4] == {4}
+    assert sum(len(r.labels) == 16 * 14 for r in sets.collect()) == 4
+
+
 # ---- packing ----
 
 
