@@ -29,13 +29,18 @@ class EdgeFile:
         return self.declared_edges - self.graph.edges.count()
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of the text files, from 0 in the order of the files' names and their lines.
+def _placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, _file, _at) of the text files; their order is that of the files' names and their lines.
 
-    Spark deals one file's splits in order, so the place within the splits follows the file.
+    A scan begins with the largest file, not with the first. Spark deals one file's splits in order, so
+    the place within the splits follows the file.
     """
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_at"))
-    return dense_number(keep(lines), ["_file", "_at"], "line_no").select("line_no", "value")
+    return spark.read.text(path).select("value", F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_at"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, value) of the text files, from 0 in the order of the files' names and their lines."""
+    return dense_number(keep(_placed_lines(spark, path)), ["_file", "_at"], "line_no").select("line_no", "value")
 
 
 def _words(value: Column) -> Column:
@@ -43,8 +48,8 @@ def _words(value: Column) -> Column:
 
 
 def header(spark: SparkSession, path: str) -> tuple[int, int]:
-    """The numbers of vertices and edges in the first line."""
-    words = spark.read.text(path).limit(1).select(_words(F.col("value")).alias("w")).first()
+    """The numbers of vertices and edges in the first line, which is line 0 of `numbered_lines`."""
+    words = _placed_lines(spark, path).orderBy("_file", "_at").limit(1).select(_words(F.col("value")).alias("w")).first()
     if words is None or len(words.w) < 2 or not all(x.lstrip("+-").isdigit() for x in words.w[:2]):
         raise ValueError(f"{path}: the first line must be the numbers of vertices and edges")
     return int(words.w[0]), int(words.w[1])

@@ -37,6 +37,16 @@ def test_header_must_be_numbers(spark, tmp_path):
         text.header(spark, put(tmp_path / "g.txt", "a b\n"))
 
 
+def test_header_is_the_first_file_s_though_a_later_one_is_larger(spark, tmp_path):
+    (tmp_path / "g").mkdir()
+    for name, content in (("part-00000", "3\t5\n0\t1\n"), ("part-00001", "1\t2\n1\t2\n2\t0\n"), ("part-00002", "2\t1\n")):
+        put(tmp_path / "g" / name, content)
+    assert text.header(spark, str(tmp_path / "g")) == (3, 5)
+    got = text.read_edge_list(spark, str(tmp_path / "g"))
+    assert rows(got.graph.edges) == [(0, 1), (1, 2), (1, 2), (2, 0), (2, 1)]
+    assert (got.graph.vertices.count(), got.rejects.count(), got.header_mismatch()) == (3, 0, 0)
+
+
 def test_raw_graph_with_comments(spark, tmp_path):
     g, mapping, rejects = text.read_raw_graph(spark, put(tmp_path / "g.txt", "# c\n10 30\n30\t20 7\n# d\n10 30\n"))
     assert rows(mapping) == [(10, 0), (20, 1), (30, 2)]
