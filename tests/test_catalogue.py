@@ -20,7 +20,7 @@ def test_same_rows_as_sql(spark, sf, duck, name):
 
 
 #: Queries that write an edge list with a header and read it again.
-FILES = ["coo_from_file", "ell_from_file", "edge_list_parse", "edge_list_rejects", "prepared_file", "jds_from_file", "csr_from_file"]
+FILES = ["coo_from_file", "ell_from_file", "edge_list_parse", "edge_list_rejects", "prepared_file", "jds_from_file", "csr_from_file", "edge_list_facts"]
 
 
 @pytest.mark.parametrize("name", FILES)
