@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import delete, keep, shared_dir
+from ..storage import delete, fewer, keep, shared_dir
 
-__all__ = ["SPACES", "WORD", "ascii_lower", "delete", "keep", "mix", "run_hashes", "shared_dir", "small_batches", "text_chunks", "word_hashes"]
+__all__ = ["SPACES", "WORD", "ascii_lower", "delete", "fewer", "keep", "mix", "run_hashes", "shared_dir", "small_batches", "text_chunks", "word_hashes"]
 
 #: The ASCII white space of the word pattern [^\x20\x09-\x0D]+.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import WORD, keep, mix, small_batches, text_chunks, word_hashes
+from .common import WORD, fewer, keep, mix, small_batches, text_chunks, word_hashes
 from .url_filter import Cascade, build_cascade
 
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 2_000_000
@@ -171,22 +171,23 @@ def connected(edges: DataFrame) -> DataFrame:
     on a long chain too, and a star is done after the first.
     """
     left = keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct())
-    roots = None
+    rows = 2 * left.count()  # no table of the rounds has more
+    left, roots = fewer(left, rows), None
     while True:
         ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e"))
-        near = keep(ends.groupBy("e.v").agg(F.min("e.w").alias("w")).select("v", F.least("v", "w").alias("p")))
+        near = keep(fewer(ends.groupBy("e.v").agg(F.min("e.w").alias("w")).select("v", F.least("v", "w").alias("p")), rows))
         while True:
             far = near.select(F.col("v").alias("p"), F.col("p").alias("q"))
-            up = keep(near.join(far, "p").select("v", F.col("p").alias("was"), F.col("q").alias("p")))
+            up = keep(fewer(near.join(far, "p").select("v", F.col("p").alias("was"), F.col("q").alias("p")), rows))
             near = up.select("v", "p")
             if up.where("p != was").isEmpty():
                 break
         if roots is None:
             roots = up.select("v", F.col("p").alias("component"))
         else:
-            roots = keep(roots.join(up.select(F.col("v").alias("component"), "p"), "component", "left").select("v", F.coalesce("p", "component").alias("component")))
+            roots = keep(fewer(roots.join(up.select(F.col("v").alias("component"), "p"), "component", "left").select("v", F.coalesce("p", "component").alias("component")), rows))
         left = left.join(up.select(F.col("v").alias("a"), F.col("p").alias("c")), "a").join(up.select(F.col("v").alias("b"), F.col("p").alias("d")), "b")
-        left = keep(left.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).where("a != b").distinct())
+        left = keep(fewer(left.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).where("a != b").distinct(), rows))
         if left.isEmpty():
             return roots
 

@@ -34,6 +34,18 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows that a task can well take in the rounds of an iteration.
+TASK_ROWS = 50_000
+
+
+def fewer(df: DataFrame, rows: int) -> DataFrame:
+    """df of about so many rows in no more partitions than these need, but in one for each core at least.
+
+    Rounds over tables that shrink cost by partitions, not by rows, where they keep the session's number of them.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a folder through Hadoop's file system."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
