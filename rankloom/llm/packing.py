@@ -8,8 +8,10 @@ the sequences' free room finds that one in log time: each inner node has the mos
 At scale: the texts never move; what is shuffled is a row of numbers for each piece (and its ids where
 `keep_ids` asks for them; they are never copied or sorted). Rows of one doc_id, or without one, and copies
 of a row are dealt to different groups, so groups are alike in size whatever a third of the rows share, and
-one group is one task's work. Tokenizing remembers the ids of words it has met in two generations of
-`MOST_WORDS`, so that frequent words stay.
+one group is one task's work. Texts are cut into words by Arrow, and a batch's distinct words go to the
+tokenizer: a plain one (letters, then signs) as its lower-cased letters and its signs, so that all forms of
+a word are tokenized once. The ids of strings met are remembered in two generations of `MOST_WORDS`, so that
+frequent ones stay; a batch's strings come on top.
 
 Ties: pieces of one length go by doc_id, start and the ids' CRC; pieces equal in these are alike. Defined
 results: a null or empty text is the end id alone; a null doc_id is kept; a text of any length is packed
@@ -19,21 +21,27 @@ gives an empty result.
 
 from __future__ import annotations
 
+import codecs
+import itertools
 import json
-import re
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, text_chunks
 
 MOST_WORDS = 200_000
+RUN = 2_000  # strings tokenized in one call
+LETTERS = "".join(c for c in map(chr, range(256)) if "A" <= c <= "Z" or "a" <= c <= "z" or "À" <= c <= "ÿ" and c not in "×÷")
+SIGNS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")  # an apostrophe may begin a cut of its own
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -42,16 +50,20 @@ class WordTokenizer:
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
         self.known: dict[str, bytes] = {"": b""}
         self.before: dict[str, bytes] = {}
-        # words of these letters and a stop or comma are one lower-cased token string, and the sign another
-        self.plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
         visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves
-        other = [b for b in range(256) if b not in set(visible)]
-        self.signs = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(other)}
+        others = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in visible)} | {0x20: " "}
+        self.bytes = "".join([others.get(b, chr(b)) for b in range(256)])
+        self.model = Tokenizer(self.whole.model)  # of words whose bytes are written so
+        self.model.pre_tokenizer = WhitespaceSplit()
+        vocabulary = self.whole.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # whether an id ends a word
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.fast, self.by_words = self._agrees(), self.parts()
 
     def _agrees(self) -> bool:
@@ -60,9 +72,12 @@ class WordTokenizer:
         steps = [x["type"] for x in (d["normalizer"] or {}).get("normalizers", [])]
         cuts = [x["type"] for x in (d["pre_tokenizer"] or {}).get("pretokenizers", [])]
         spaces = steps == ["NFC", "Replace", "Lowercase"] and d["normalizer"]["normalizers"][1]["pattern"] == {"Regex": r"\s+"}
-        if not spaces or cuts != ["Split", "ByteLevel"] or d["model"]["type"] != "BPE":
+        if not spaces or cuts != ["Split", "ByteLevel"] or d["model"]["type"] != "BPE" or d["model"]["end_of_word_suffix"] != "</w>":
             return False
-        return all(self._short(w) == self._long(w) for w in ("Hello", "Straße,", "élève.", "ÀÉ", "The", "x"))
+        plain, _, _ = self._halves(pa.array([a["content"] for a in d["added_tokens"]], pa.string()))
+        words = ["Hello", "Straße,", "élève.", "ÀÉ", "The", "x", SIGNS, "".join(sorted(LETTERS)), *(f"Ab{s}{s}" for s in SIGNS)]
+        _, stems, signs = self._halves(pa.array(words))
+        return not pc.any(plain).as_py() and [a + b for a, b in zip(self._short(stems.to_pylist()), self._short(signs.to_pylist()), strict=True)] == [self._long(w) for w in words]
 
     def parts(self) -> bool:
         """Whether spaces and newlines part a text into words whose ids follow each other: they are removed by the file's own cut."""
@@ -74,33 +89,71 @@ class WordTokenizer:
         ids = self.whole.encode(word, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _short(self, word: str) -> bytes:
-        m = self.plain.fullmatch(word)
-        if not m:
-            return self._long(word)
-        core = m[1].lower()
-        ids = [t.id for t in self.model.tokenize(core if core.isascii() else "".join([self.signs[b] for b in core.encode()]))]
-        if m[2]:
-            ids += [t.id for t in self.model.tokenize(m[2])]
-        return struct.pack(f"<{len(ids)}I", *ids)
+    @staticmethod
+    def _halves(words: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Whether each word is plain, which is letters and then signs: one lower-cased token string each; its letters so, its signs."""
+        signs = pc.utf8_ltrim(words, LETTERS)
+        plain = pc.equal(pc.utf8_rtrim(signs, SIGNS), "")
+        return plain, pc.if_else(plain, pc.utf8_lower(pc.utf8_rtrim(words, SIGNS)), words), pc.if_else(plain, signs, "")
+
+    def _short(self, strings: list[str]) -> list[bytes]:
+        """The ids of lower-cased letters or of signs, by the model alone: all in one call, as the last id of each says so."""
+        found = []
+        for i in range(0, len(strings), RUN):
+            some = [s for s in strings[i : i + RUN] if s]
+            ids = np.array(self.model.encode_batch_fast([codecs.charmap_decode(" ".join(some).encode(), "strict", self.bytes)[0]], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) != len(some):
+                found += [self._long(s) for s in strings[i : i + RUN]]
+                continue
+            data, cuts = ids.tobytes(), zip([0, *ends], ends, strict=False)
+            each = (data[a:b] for a, b in cuts)
+            found += [next(each) if s else b"" for s in strings[i : i + RUN]]
+        return found
+
+    def _known(self, strings: pa.Array, plain: bool) -> np.ndarray:
+        """The ids of each string; those of strings met are remembered."""
+        strings = strings.dictionary_encode()
+        if len(self.known) > MOST_WORDS:  # the strings met since then stay; of the others those that come again
+            self.before, self.known = self.known, {"": b""}
+        known, before, new = self.known, self.before, []
+        each = strings.dictionary.to_numpy(zero_copy_only=False).tolist()
+        for s in each:
+            if s not in known:
+                if s in before:
+                    known[s] = before[s]
+                else:
+                    new.append(s)
+        known.update(zip(new, self._short(new) if plain else map(self._long, new), strict=True))
+        return _objects([known[s] for s in each])[strings.indices.to_numpy()]
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, little-endian and 4 bytes each; a null is an empty text."""
+        if not self.by_words:
+            yield from (self._long(text.as_py() or "") for text in texts)
+            return
+        for i, j, _, _ in text_chunks(texts, 1 << 22):
+            split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.slice(i, j - i), ""), "\n", " "), " ")
+            words = split.flatten().dictionary_encode()
+            if self.fast:
+                plain, stems, signs = self._halves(words.dictionary)
+                ids = _objects([b""] * len(plain))
+                short = plain.to_numpy(zero_copy_only=False)
+                ids[short] = self._known(stems.filter(plain), True) + self._known(signs.filter(plain), True)
+                ids[~short] = self._known(stems.filter(pc.invert(plain)), False)
+            else:
+                ids = self._known(words.dictionary, False)
+            at, ends = words.indices.to_numpy(), split.offsets.to_pylist()
+            yield from (b"".join(ids[at[a:b]].tolist()) for a, b in itertools.pairwise(ends))
 
     def encode(self, text: str) -> bytes:
-        """The ids, little-endian and 4 bytes each."""
-        if not self.by_words:
-            return self._long(text)
-        words = text.replace("\n", " ").split(" ")
-        known, find = self.known, self._short if self.fast else self._long
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > MOST_WORDS:  # the words met since then stay; of the others those that come again
-                self.before, self.known = known, {"": b""}
-                known = self.known
-            before = self.before
-            for w in set(words):
-                if w not in known:
-                    known[w] = before[w] if w in before else find(w)
-            return b"".join([known[w] for w in words])
+        return next(self.encode_all(pa.array([text], pa.string())))
+
+
+def _objects(values: list[bytes]) -> np.ndarray:
+    found = np.empty(len(values), object)
+    found[:] = values
+    return found
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -119,12 +172,12 @@ def pieces(docs: DataFrame, path: str, length: int, end: int, keep_ids: bool) ->
     last = struct.pack("<I", end)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = tokenizer(path).encode, TaskContext.get().partitionId()
+        encode, task = tokenizer(path).encode_all, TaskContext.get().partitionId()
         met: dict[tuple[int | None, int], int] = {}  # a row of the task's each
         for batch in batches:
             rows: list[list] = [[] for _ in schema.split(",")]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + last
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                ids += last
                 whole = zlib.crc32(ids)
                 copy = met[doc_id, whole] = met.get((doc_id, whole), -1) + 1
                 deal = whole | (task & 0xFFFFF) << 32 | (copy & 0x7FF) << 52

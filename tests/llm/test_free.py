@@ -268,6 +268,37 @@ def test_short_way_gives_the_tokenizers_ids():
         assert list(np.frombuffer(t.encode(x), "<u4")) == ids, x
 
 
+def test_forms_of_a_word_are_tokenized_once():
+    t = packing.WordTokenizer(vocabulary())
+    stems, signs = [f"st{chr(97 + i)}mé" for i in range(20)], ["", ".", ",", ".!!", "###", ")&&", "...", "|<"]
+    x = " ".join(f(s) + e for s in stems for e in signs for f in (str.lower, str.upper, str.capitalize))
+    assert list(np.frombuffer(t.encode(x), "<u4")) == t.whole.encode(x, add_special_tokens=False).ids
+    assert len(t.known) <= 1 + len(stems) + len(signs)
+
+
+@pytest.mark.parametrize("run", [3, 2000])
+def test_texts_are_encoded_by_batches(monkeypatch, run):
+    monkeypatch.setattr(packing, "RUN", run)
+    r = random.Random(5)
+    bits = [*"aZéßÀÿ×÷ªµİſKΣς中é", "\u0301", *packing.SIGNS, "'s", "'", "’", "1", "\t", "\u00a0", "\x85", "\u200b", "<|endoftext|>", "<|ENDOFTEXT|>", "</w>", "\n", " ", " ", "the", "Of", "😀"]
+    texts = [x for _, x in TEXTS] + ["".join(r.choice(bits) for _ in range(r.randrange(60))) for _ in range(400)]
+    t = packing.WordTokenizer(vocabulary())
+    want = [t.whole.encode(x or "", add_special_tokens=False).ids for x in texts]
+    for kind in (pa.string(), pa.large_string()):
+        got = [*t.encode_all(pa.array(["left out", *texts], kind).slice(1))]
+        assert [list(np.frombuffer(x, "<u4")) for x in got] == want
+    assert [*t.encode_all(pa.array([], pa.string()))] == []
+    t.fast = False
+    assert [list(np.frombuffer(x, "<u4")) for x in t.encode_all(pa.array(texts))] == want
+
+
+def test_strings_that_the_model_does_not_end_are_tokenized_whole():
+    t = packing.WordTokenizer(vocabulary())
+    want = t.encode("some words, others.")
+    t.known, t.last = {"": b""}, np.zeros_like(t.last)
+    assert t.encode("some words, others.") == want
+
+
 def test_words_met_are_forgotten_by_generations(monkeypatch):
     monkeypatch.setattr(packing, "MOST_WORDS", 50)
     t, r = packing.WordTokenizer(vocabulary()), random.Random(3)
