@@ -38,8 +38,9 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, text_chunks
 
-MOST_WORDS = 200_000
+MOST_WORDS = 80_000
 RUN = 2_000  # strings tokenized in one call
+CHUNK = 1 << 20  # bytes of text cut into words at once
 LETTERS = "".join(c for c in map(chr, range(256)) if "A" <= c <= "Z" or "a" <= c <= "z" or "À" <= c <= "ÿ" and c not in "×÷")
 SIGNS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")  # an apostrophe may begin a cut of its own
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -132,7 +133,7 @@ class WordTokenizer:
         if not self.by_words:
             yield from (self._long(text.as_py() or "") for text in texts)
             return
-        for i, j, _, _ in text_chunks(texts, 1 << 22):
+        for i, j, _, _ in text_chunks(texts, CHUNK):
             split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.slice(i, j - i), ""), "\n", " "), " ")
             words = split.flatten().dictionary_encode()
             if self.fast:
